@@ -251,7 +251,7 @@ def encode_corpus(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=[*kept, out])
                 start = stop
 
-    return source.mapInArrow(run, T.StructType(source.schema.fields).add(out, T.ArrayType(T.IntegerType())))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(ids: list[int], path: str) -> str:
