@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 
@@ -56,24 +57,47 @@ def reading_orders(xs: pa.Array, ys: pa.Array) -> tuple[np.ndarray, np.ndarray,
 
 
 #: Letters that scanning takes for others, brought to one form on both sides of any comparison.
-_ALIKE = str.maketrans({"0": "o", "1": "l", "5": "s", "8": "s", "6": "b", "9": "g", "ſ": "s", "þ": "p", "ß": "b", "|": "l", "(": None, "'": None, "’": None, "-": None})
-_ALIKE_GROUPS = [("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("ol", "d"), ("li", "h")]
-_NO_WORD = re.compile(r"[^a-z0-9]+")
+_ALIKE = {"0": "o", "1": "l", "5": "s", "8": "s", "6": "b", "9": "g", "|": "l", "ſ": "s", "þ": "p", "ß": "b"}
+_ALIKE_GROUPS = [(b"ri", b"n"), (b"rn", b"m"), (b"vv", b"w"), (b"ii", b"u"), (b"cl", b"d"), (b"ol", b"d"), (b"li", b"h")]
 
 
-def canonical(word: str) -> str:
-    """A word in lower case without accents and punctuation, with letters that look alike in one form."""
-    word = word.lower()
-    if not word.isascii():
-        word = "".join(c for c in unicodedata.normalize("NFKD", word.translate(_ALIKE)) if not unicodedata.combining(c))
-    word = _NO_WORD.sub("", word.translate(_ALIKE))
+def _fold(c: str) -> str:
+    """The plain lower-case letter or digit of a character, a blank for a blank, else nothing."""
+    if c.isspace():
+        return " "
+    base = unicodedata.normalize("NFKD", _ALIKE.get(c, c).lower())[:1]
+    base = _ALIKE.get(base, base)
+    return base if base.isascii() and base.isalnum() else ""
+
+
+#: One byte for each character of Latin-1; zero for those that are left out.
+_TABLE = bytes(ord(_fold(chr(i)) or "\0") if _fold(chr(i)) else 0 for i in range(256))
+_LEFT_OUT = bytes(i for i in range(256) if not _TABLE[i])
+
+
+def _other(error: UnicodeError) -> tuple[str, int]:
+    """Characters beyond Latin-1: breaks as hyphens, others by _fold."""
+    text = error.object[error.start : error.end]
+    return "".join("-" if c in BREAKS else "'" if not _fold(c) else _fold(c) for c in text), error.end
+
+
+codecs.register_error("loomwave_fold", _other)
+
+
+def page_words(text: str) -> list[bytes]:
+    """Canonical words of a text; words broken at line ends are joined first."""
+    raw = text.encode("latin-1", "loomwave_fold")
+    if b"\r" in raw:
+        raw = raw.replace(b"\r\n", b"\n").replace(b"\r", b"\n")
+    for mark in (b"-\n", b"\xad\n", b"=\n", b"\xac\n"):
+        raw = raw.replace(mark, b"")
+    raw = raw.translate(_TABLE, _LEFT_OUT)
     for a, b in _ALIKE_GROUPS:
-        if a in word:
-            word = word.replace(a, b)
-    return word
+        raw = raw.replace(a, b)
+    return raw.split()
 
 
-def deletions(word: str, most: int) -> set[str]:
+def deletions(word: bytes, most: int) -> set[bytes]:
     """The word and what is left of it when up to `most` letters are deleted."""
     out, layer = {word}, {word}
     for _ in range(most):
@@ -82,6 +106,6 @@ def deletions(word: str, most: int) -> set[str]:
     return out
 
 
-def tolerance(word: str) -> int:
+def tolerance(word: bytes) -> int:
     """Letters of a word that may be misread."""
     return 0 if len(word) < 2 else 1 if len(word) < 7 else 2

@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwave.llm import encoding
+from loomwave.llm import encoding, leakage
 from loomwave.session import table
 
 #: Path of the vocabulary file; the environment may name another.
@@ -24,5 +24,17 @@ def p6_sources(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_report(encoding.encode_corpus(table(spark, d, "documents").select("source", "text"), vocabulary).drop("text"), "source")
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_sources)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.item_report(_leaks(spark, d), table(spark, d, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p6_sources, p7_found, p7_items)}
 ORACLE: dict[str, str] = {}
