@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwave.llm import encoding, leakage
+from loomwave.llm import encoding, leakage, truncation
 from loomwave.session import table
 
 #: Path of the vocabulary file; the environment may name another.
@@ -36,5 +36,14 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.item_report(_leaks(spark, d), table(spark, d, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_sources, p7_found, p7_items)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.find_truncated(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return truncation.truncation_report(documents, truncation.find_truncated(documents))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p6_sources, p7_found, p7_items, p8_found, p8_sources)}
 ORACLE: dict[str, str] = {}
