@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OUTER_BLANKS = r"^[\s ]+|[\s ]+$"
+#: Characters that count as blanks around a text (fixed values).
+BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip_blanks(c: Column) -> Column:
-    return F.regexp_replace(c, _OUTER_BLANKS, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def normal_key(c: Column) -> Column:
     """Equal for keys that differ in outer blanks, case, a leading ``./``, leading zeros of numbers or ``\\`` for ``/``."""
     path = F.translate(F.lower(strip_blanks(c)), "\\", "/")
-    return F.regexp_replace(F.regexp_replace(path, r"^(\./)+", ""), r"(?<![0-9])0+(?=[0-9])", "")
+    bare = F.when(path.startswith("./"), F.substring(path, 3, 2**31 - 1)).otherwise(path)
+    return F.regexp_replace(bare, r"(?<![0-9])0+(?=[0-9])", "")
 
 
 def reference_key(c: Column) -> Column:

@@ -42,7 +42,6 @@ def concatenate(sources: list[DataFrame], axis: str, other: list[str], mismatch:
     expand keeps every row, raise fails unless all have the same labels. Repeated labels of `axis` are prefixed by source.
     """
     if mismatch != "expand":
-        base = sources[0]
         for o in other:
             shared = reduce(lambda a, b: a.join(b, o, "left_semi"), (s.select(o).distinct() for s in sources))
             if mismatch == "raise":
@@ -50,7 +49,6 @@ def concatenate(sources: list[DataFrame], axis: str, other: list[str], mismatch:
                 if any(s.select(o).distinct().count() != n for s in sources):
                     raise ValueError(f"labels of {o} differ")
             sources = [s.join(shared, o, "left_semi") for s in sources]
-        del base
     tagged = reduce(DataFrame.unionByName, (s.withColumn("_source", F.lit(i)) for i, s in enumerate(sources)))
     clash = tagged.select(axis, "_source").distinct().groupBy(axis).agg((F.count("*") > 1).alias("_clash"))
     name = F.when(F.col("_clash"), F.concat_ws("-", F.col("_source").cast("string"), axis)).otherwise(F.col(axis))

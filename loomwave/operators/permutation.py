@@ -22,7 +22,7 @@ def assignments(trials: DataFrame, trial: str, first: Column, n_perm: int, order
 def null_differences(samples: DataFrame, assigned: DataFrame, trial: str, keys: list[str], value: str) -> DataFrame:
     """diff of means per permutation and key: the samples meet every permutation of their trial once, and are
     summed before any shuffle; only perm x keys rows move."""
-    joined = samples.join(F.broadcast(assigned) if assigned.isLocal() else assigned, trial)
+    joined = samples.join(assigned, trial)
     diff = F.avg(F.when(F.col("first"), F.col(value))) - F.avg(F.when(~F.col("first"), F.col(value)))
     return joined.groupBy("perm", *keys).agg(diff.alias("diff"))
 

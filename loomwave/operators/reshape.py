@@ -52,14 +52,12 @@ def stitch(first: str, second: str, overlap: int) -> Column:
 
 def stitch_all(signals: list[str], overlaps: list[int]) -> Column:
     """Several signals joined one after another; every cross-fade is kept. Signals must be longer than their overlaps."""
-    starts, at = [0], 0
     total = F.lit(0)
     offsets = [F.lit(0)]
     for s, k in zip(signals, overlaps):
         total = total + F.size(s) - k
         offsets.append(total)
     size = total + F.size(signals[-1])
-    del starts, at
 
     def sample(i: Column) -> Column:
         out = F.lit(0.0)
@@ -111,8 +109,8 @@ def to_grid(df: DataFrame, chan_map: DataFrame, channel: str, value: str, column
 def box_mean(df: DataFrame, row: str, column: str, value: str, height: int, width: int) -> DataFrame:
     """Mean over a box around each cell, zeros beyond the border: each cell is sent to the boxes that hold it."""
     dr, dc = height // 2, width // 2
-    shifts = F.explode(F.array(*(F.struct(F.lit(i).alias("r"), F.lit(j).alias("c")) for i in range(-dr, height - dr) for j in range(-dc, width - dc))))
-    sent = df.select((F.col(row) - F.col("s.r")).alias(row), (F.col(column) - F.col("s.c")).alias(column), value) if "s" in df.columns else df.withColumn("s", shifts).select((F.col(row) + F.col("s.r")).alias(row), (F.col(column) + F.col("s.c")).alias(column), value)
+    shifts = F.array(*(F.struct(F.lit(i).alias("r"), F.lit(j).alias("c")) for i in range(-dr, height - dr) for j in range(-dc, width - dc)))
+    sent = df.select(row, column, value, F.explode(shifts).alias("_s")).select((F.col(row) + F.col("_s.r")).alias(row), (F.col(column) + F.col("_s.c")).alias(column), value)
     means = sent.groupBy(row, column).agg((F.sum(value) / (height * width)).alias("box_mean"))
     return df.select(row, column).join(means, [row, column])
 

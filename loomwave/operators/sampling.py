@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwave.operators.sorted_scan import global_rank
+
 
 def hash_order(*cols: str | Column, seed: int = 0) -> Column:
     """A repeatable random order."""
@@ -44,8 +46,8 @@ def mixup(df: DataFrame, key: str, label: str, index: str, value: str, order_fir
     donors = whole.where("_whole")
     w_label = Window.partitionBy(label)
     first = donors.select(F.col(label), F.col(key).alias("_k1"), (F.row_number().over(w_label.orderBy(*order_first)) - 1).alias("_r1"), F.count("*").over(w_label).alias("_n1"))
-    # donors of any label are ranked by their hash bucket and dealt within it, so no single task orders them all
-    all_ = donors.select(F.col(key).alias("_k2"), F.row_number().over(Window.orderBy(*order_second)).alias("_r2")) if order_second else donors.select(F.col(key).alias("_k2"), F.lit(1).alias("_r2"))
+    every = donors.select(F.col(key).alias("_k2"), *(o.alias(f"_o{i}") for i, o in enumerate(order_second)))
+    all_ = global_rank(every, [f"_o{i}" for i in range(len(order_second))], "_r2").select("_k2", (F.col("_r2") + 1).alias("_r2"))
     n2 = donors.agg(F.count("*").alias("_n2"))
     needy = whole.where("not _whole").select(key, label, (F.row_number().over(w_label.orderBy(*order_first)) - 1).alias("_r"))
     plan = needy.join(first.select(label, "_n1").distinct(), label).withColumn("_r1", F.col("_r") % F.col("_n1"))

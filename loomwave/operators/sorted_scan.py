@@ -137,3 +137,24 @@ def carried_running_max(sorted_df: DataFrame, keys: list[str], values: list[str]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(out[c], pa.int64()) for c in added)], names=[*batch.schema.names, *added])
 
     return sorted_df.mapInArrow(scan, schema)
+
+
+def global_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """df with its place (from 0) in a global order, without sorting in one task.
+
+    Rows are range-sorted over the partitions; only the partitions' sizes reach the driver. Ties are placed as they come.
+    """
+    placed = range_sorted(df, [], order)
+    sizes = {r["pid"]: r["count"] for r in placed.groupBy(F.spark_partition_id().alias("pid")).count().collect()}
+    first, total = {}, 0
+    for pid in sorted(sizes):
+        first[pid], total = total, total + sizes[pid]
+    shared = placed.sparkSession.sparkContext.broadcast(first)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows), pa.int64())], names=[*batch.schema.names, out])
+            at += batch.num_rows
+
+    return placed.mapInArrow(scan, T.StructType([*placed.schema.fields, T.StructField(out, T.LongType())]))

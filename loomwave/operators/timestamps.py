@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwave.functions.keys import strip_blanks
+
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?: ?([ap]\.?m\.?))?"
 _ZONE = r"(?: ?(z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[a-z]{2,5}))?"
@@ -89,7 +91,7 @@ def normalise_timestamps(df: DataFrame, text: str, site: str, sites: DataFrame,
     """
     zones = zone_table(sites).select(F.col("site").alias("_site"), *(F.col(c).alias(f"_{c}") for c in ("tz_name", "date_order", "abbreviations")))
     joined = df.join(zones, F.col(site) == F.col("_site"), "left")
-    raw = F.regexp_replace(F.lower(F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "")), r"[\s ]+", " ")
+    raw = F.regexp_replace(F.lower(strip_blanks(F.col(text))), r"\s+", " ")
     joined = joined.withColumn("_t", raw)
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(_CASCADE):

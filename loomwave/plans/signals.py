@@ -392,9 +392,9 @@ def condition_product(spark, d):
     return table(spark, d, "region").select("r_name").crossJoin(status)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
 def drop_bad_channels(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_totalprice > 150000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("""WITH c AS (SELECT s_suppkey AS name, 'good' AS status FROM supplier), x AS (SELECT DISTINCT l_suppkey AS name, 'bad' AS status FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1)
@@ -442,9 +442,9 @@ def intersect_labels(spark, d):
     return a.intersect(b).intersect(table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("k")))
 
 
-@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 25")
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49")
 def difference_labels(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, d, "lineitem").where("l_quantity > 25").select("l_partkey"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, d, "lineitem").where("l_quantity > 49").select("l_partkey"))
 
 
 @query("SELECT n_name AS name FROM nation UNION SELECT r_name FROM region")
