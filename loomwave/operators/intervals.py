@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwave.functions.keys import strip_blanks
 from loomwave.operators.sorted_scan import carried_running_max, range_sorted
 
 
@@ -38,6 +39,6 @@ def gaps(df: DataFrame, entity: list[str], start: str, end: str) -> DataFrame:
 
 def event_intervals(events: DataFrame) -> DataFrame:
     """file_id, trial_type in one form, from_ms and to_ms of the usable rows of an events table."""
-    label = F.lower(F.regexp_replace("trial_type", r"^[\s ]+|[\s ]+$", ""))
+    label = F.lower(strip_blanks(F.col("trial_type")))
     onset, lasts = whole_ms(F.col("onset")), whole_ms(F.col("duration"))
     return events.where("duration > 0").select("file_id", label.alias("trial_type"), onset.alias("from_ms"), (onset + lasts).alias("to_ms"))
