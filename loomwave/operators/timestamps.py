@@ -19,15 +19,15 @@ from loomwave.functions.keys import strip_blanks
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?: ?([ap]\.?m\.?))?"
 _ZONE = r"(?: ?(z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[a-z]{2,5}))?"
-#: (name, anchored pattern of the lower-case text, groups of year, month, day; the time's groups follow).
+#: (name, anchored pattern of the lower-case text, its groups as year|month|day|hour|minute|second|fraction|half|zone).
 _CASCADE = [
-    ("epoch", r"^(\d{10}|\d{13})$"),
-    ("compact", r"^(\d{4})(\d{2})(\d{2})[t ]?(\d{2})(\d{2})(\d{2})(?:[.,](\d{1,9}))?" + _ZONE + "$"),
-    ("year_first", r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?:t| +)" + _TIME + _ZONE + "$"),
-    ("digits", r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?:,? +|t)" + _TIME + _ZONE + "$"),
-    ("month_first", r"^([a-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4}),? " + _TIME + _ZONE + "$"),
-    ("mail", r"^(?:[a-z]{3,9}, )?(\d{1,2}) ([a-z]{3})[a-z]*\.? (\d{4}),? " + _TIME + _ZONE + "$"),
+    ("compact", r"^(\d{4})(\d{2})(\d{2})[t ]?(\d{2})(\d{2})(\d{2})(?:[.,](\d{1,9}))?" + _ZONE + "$", "$1|$2|$3|$4|$5|$6|$7||$8"),
+    ("year_first", r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?:t| +)" + _TIME + _ZONE + "$", "$1|$3|$4|$5|$6|$7|$8|$9|$10"),
+    ("digits", r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?:,? +|t)" + _TIME + _ZONE + "$", "$4|$1|$3|$5|$6|$7|$8|$9|$10"),
+    ("month_first", r"^([a-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4}),? " + _TIME + _ZONE + "$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
+    ("mail", r"^(?:[a-z]{3,9}, )?(\d{1,2}) ([a-z]{3})[a-z]*\.? (\d{4}),? " + _TIME + _ZONE + "$", "$3|$2|$1|$4|$5|$6|$7|$8|$9"),
 ]
+_EPOCH = r"^(\d{10}|\d{13})$"
 _FIRST_YEAR = 1925
 
 
@@ -64,23 +64,13 @@ def _number(c: Column) -> Column:
 def _shown(utc: Column) -> Column:
     """UTC microseconds as YYYY-MM-DDTHH:MM:SS.ffffffZ, whatever the session's time zone."""
     day = F.floor((utc - F.pmod(utc, F.lit(86400 * 10**6))) / (86400 * 10**6))
-    rest = utc - day * 86400 * 10**6
+    rest = F.pmod(utc, F.lit(86400 * 10**6))
     two = lambda n: F.lpad(n.cast("string"), 2, "0")
     s = F.floor(rest / 1000000)
     h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
     return F.concat(F.date_from_unix_date(day.cast("int")).cast("string"), F.lit("T"), two(h), F.lit(":"), two(m), F.lit(":"), two(s % 60), F.lit("."), F.lpad((rest % 1000000).cast("string"), 6, "0"), F.lit("Z"))
 
 
-def _utc_micros(local: Column, zone: Column) -> tuple[Column, Column]:
-    """UTC microseconds of clock times in a zone, and how many instants show that clock time (0, 1 or 2)."""
-    clock = lambda utc: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(utc), zone))
-    day = 86400 * 10**6
-    before, after = local - (clock(local - day) - (local - day)), local - (clock(local + day) - (local + day))
-    fits_before, fits_after = clock(before) == local, clock(after) == local
-    count = F.when(before == after, fits_before.cast("int")).otherwise(fits_before.cast("int") + fits_after.cast("int"))
-    return F.when(fits_before, before).otherwise(after), count
-
-
 def normalise_timestamps(df: DataFrame, text: str, site: str, sites: DataFrame, out: str = "acq_utc") -> DataFrame:
     """df with `out`: YYYY-MM-DDTHH:MM:SS.ffffffZ, or nonexistent, ambiguous or none; and `{out}_format`, the pattern.
 
@@ -94,36 +84,22 @@ def normalise_timestamps(df: DataFrame, text: str, site: str, sites: DataFrame,
     raw = F.regexp_replace(F.lower(strip_blanks(F.col(text))), r"\s+", " ")
     joined = joined.withColumn("_t", raw)
     kind = F.lit(None).cast("string")
-    for name, pattern in reversed(_CASCADE):
+    for name, pattern, _ in reversed(_CASCADE):
         kind = F.when(F.col("_t").rlike(pattern), name).otherwise(kind)
-    joined = joined.withColumn("_kind", kind)
-
-    def pick(groups: dict[str, int]) -> Column:
-        value = F.lit("")
-        for name, pattern in _CASCADE:
-            if name in groups:
-                value = F.when(F.col("_kind") == name, F.regexp_extract("_t", pattern, groups[name])).otherwise(value)
-        return value
-
-    month_number = lambda name: sum((F.when(name == m, i + 1).otherwise(0) for i, m in enumerate(_MONTHS)), F.lit(0)).cast("string")
-    a, b, sep = pick({"digits": 1}), pick({"digits": 3}), pick({"digits": 2})
-    month_leads = (sep != ".") & (F.coalesce("_date_order", F.lit("")) == "mdy")
-    unknown_order = (sep != ".") & F.col("_date_order").isNull()
-    named = pick({"month_first": 1, "mail": 2})
-    year = pick({"compact": 1, "year_first": 1, "digits": 4, "month_first": 3, "mail": 3})
-    month = F.when(F.col("_kind") == "digits", F.when(unknown_order, F.lit("")).when(month_leads, a).otherwise(b)).when(F.col("_kind").isin("month_first", "mail"), month_number(named)).otherwise(pick({"compact": 2, "year_first": 3}))
-    day = F.when(F.col("_kind") == "digits", F.when(month_leads, b).otherwise(a)).otherwise(pick({"compact": 3, "year_first": 4, "month_first": 2, "mail": 1}))
-    parts = {
-        "_y": year, "_mo": month, "_d": day,
-        "_h": pick({"compact": 4, "year_first": 5, "digits": 5, "month_first": 4, "mail": 4}),
-        "_mi": pick({"compact": 5, "year_first": 6, "digits": 6, "month_first": 5, "mail": 5}),
-        "_s": pick({"compact": 6, "year_first": 7, "digits": 7, "month_first": 6, "mail": 6}),
-        "_f": pick({"compact": 7, "year_first": 8, "digits": 8, "month_first": 7, "mail": 7}),
-        "_half": F.regexp_replace(pick({"year_first": 9, "digits": 9, "month_first": 8, "mail": 8}), r"\.", ""),
-        "_zone": pick({"compact": 8, "year_first": 10, "digits": 10, "month_first": 9, "mail": 9}),
-    }
-    joined = joined.withColumns(parts)
-    hour, second = _number(F.col("_h")), F.when(F.col("_s") == "", 0).otherwise(_number(F.col("_s")))
+    joined = joined.withColumn("_kind", F.when(F.col("_t").rlike(_EPOCH), "epoch").otherwise(kind))
+    written = F.lit("||||||||")
+    for name, pattern, groups in _CASCADE:
+        written = F.when(F.col("_kind") == name, F.regexp_replace("_t", pattern, groups)).otherwise(written)
+    joined = joined.withColumn("_parts", F.split(written, r"\|", -1))
+    part = lambda i: F.get("_parts", F.lit(i))
+    by_point = F.col("_t").rlike(r"^\d{1,2}\.")
+    month_leads = ~by_point & (F.coalesce("_date_order", F.lit("")) == "mdy")
+    digits = F.col("_kind") == "digits"
+    first = F.when(digits & ~by_point & F.col("_date_order").isNull(), F.lit("")).otherwise(part(1))
+    swapped = digits & ~month_leads
+    month = F.when(swapped, part(2)).when(F.col("_kind").isin("month_first", "mail"), (F.array_position(F.array(*map(F.lit, _MONTHS)), part(1))).cast("string")).otherwise(first)
+    joined = joined.withColumns({"_y": part(0), "_mo": month, "_d": F.when(swapped, first).otherwise(part(2)), "_h": part(3), "_mi": part(4), "_s": part(5), "_f": part(6), "_half": F.translate(part(7), ".", ""), "_zone": part(8)})
+    hour, second = _number(F.col("_h")), F.when(F.coalesce("_s", F.lit("")) == "", 0).otherwise(_number(F.col("_s")))
     twelve = F.col("_half") != ""
     hour24 = F.when(twelve, hour % 12 + F.when(F.col("_half") == "pm", 12).otherwise(0)).otherwise(hour)
     date = F.try_to_date(F.concat_ws("-", F.lpad("_y", 4, "0"), F.lpad("_mo", 2, "0"), F.lpad("_d", 2, "0")), "yyyy-MM-dd")
@@ -136,16 +112,16 @@ def normalise_timestamps(df: DataFrame, text: str, site: str, sites: DataFrame,
     far = _number(F.substring(digits, 1, 2)) * 3600 + F.coalesce(_number(F.substring(digits, 3, 2)), F.lit(0)) * 60
     numeric = F.when((far <= 18 * 3600) & (F.coalesce(_number(F.substring(digits, 3, 2)), F.lit(0)) < 60), sign * far)
     offset = F.when(F.col("_zone").isin("z", "utc"), 0).when(F.col("_zone").rlike("^[+-]"), numeric).otherwise(F.coalesce(F.try_element_at("_abbreviations", "_zone"), F.when(F.col("_zone") == "gmt", 0)))
-    utc, count = _utc_micros(F.col("_local"), F.coalesce("_tz_name", F.lit("UTC")))
+    zone, day = F.coalesce("_tz_name", F.lit("UTC")), 86400 * 10**6
+    clock = lambda utc: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(utc), zone))
+    around = lambda shift: F.col("_local") - (clock(F.col("_local") + shift) - (F.col("_local") + shift))
+    joined = joined.withColumns({"_before": around(-day), "_after": around(day)})
+    joined = joined.withColumns({"_fits_before": clock(F.col("_before")) == F.col("_local"), "_fits_after": clock(F.col("_after")) == F.col("_local")})
+    twice = F.col("_fits_before") & F.col("_fits_after") & (F.col("_before") != F.col("_after"))
     epoch = F.col("_t").try_cast("long") * F.when(F.length("_t") == 10, 1000000).otherwise(1000)
-    resolved = (
-        F.when(F.col("_kind") == "epoch", _shown(epoch))
-        .when(F.col("_local").isNull(), "none")
-        .when(F.col("_zone") != "", F.coalesce(_shown(F.col("_local") - offset.cast("long") * 1000000), F.lit("none")))
-        .when(F.col("_tz_name").isNull(), "none")
-        .when(count == 0, "nonexistent")
-        .when(count == 2, "ambiguous")
-        .otherwise(_shown(utc))
-    )
-    result = joined.withColumn(out, F.coalesce(resolved, F.lit("none"))).withColumn(f"{out}_format", F.col("_kind"))
+    zoned = F.coalesce("_zone", F.lit("")) != ""
+    flag = F.when(F.col("_kind") == "epoch", None).when(F.col("_local").isNull(), "none").when(zoned, None).when(F.col("_tz_name").isNull(), "none").when(twice, "ambiguous").when(~F.col("_fits_before") & ~F.col("_fits_after"), "nonexistent")
+    instant = F.when(F.col("_kind") == "epoch", epoch).when(zoned, F.col("_local") - offset.cast("long") * 1000000).when(F.col("_fits_before"), F.col("_before")).otherwise(F.col("_after"))
+    joined = joined.withColumns({"_flag": flag, "_instant": instant})
+    result = joined.withColumn(out, F.coalesce("_flag", _shown(F.col("_instant")), F.lit("none"))).withColumn(f"{out}_format", F.col("_kind"))
     return result.select(*df.columns, out, f"{out}_format")
