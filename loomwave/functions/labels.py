@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Seconds a unit of a written duration (fixed values).
 UNITS = {"us": 1e-6, "ms": 1e-3, "s": 1.0, "sec": 1.0, "m": 60.0, "min": 60.0}
@@ -81,7 +82,7 @@ def affine(x: Column, y: Column, z: Column, matrix: list[list[float]]) -> list[C
     return [r[0] * x + r[1] * y + r[2] * z + r[3] for r in matrix[:3]]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def common_substring(first: pd.Series, second: pd.Series) -> pd.Series:
     """The longest common substring of two texts (the earliest in the first); null if one is null."""
 
@@ -100,7 +101,7 @@ def common_substring(first: pd.Series, second: pd.Series) -> pd.Series:
     return pd.Series([longest(a, b) for a, b in zip(first, second)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_upper(x: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper tail of the chi-squared distribution (by the incomplete gamma function)."""
     import math
@@ -136,7 +137,7 @@ def chi2_upper(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([q(a, b) for a, b in zip(x, dof)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_z(p: pd.Series) -> pd.Series:
     """z = minus the normal quantile of p; null outside (0, 1)."""
     from statistics import NormalDist
