@@ -34,7 +34,7 @@ _FIRST_YEAR = 1925
 def zone_table(sites: DataFrame) -> DataFrame:
     """site, tz_name, date_order and the offsets in seconds of the abbreviations that the site's zone uses.
 
-    One row per site (the first by zone name if repeated). An unknown zone name gives null.
+    One row per site (the first by zone name if repeated). An unknown zone name counts as null.
     """
 
     def offsets(tz_name: str) -> dict[str, int] | None:
@@ -51,6 +51,7 @@ def zone_table(sites: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf["abbreviations"] = [offsets(z) if z else None for z in pdf["tz_name"]]
+            pdf["tz_name"] = [z if a else None for z, a in zip(pdf["tz_name"], pdf["abbreviations"])]
             yield pdf
 
     one = sites.groupBy("site").agg(F.min(F.struct("tz_name", "date_order")).alias("s")).select("site", "s.*")
@@ -80,8 +81,10 @@ def normalise_timestamps(df: DataFrame, text: str, site: str, sites: DataFrame,
     short fixed list; Spark's size check decides whether it is broadcast.
     """
     zones = zone_table(sites).select(F.col("site").alias("_site"), *(F.col(c).alias(f"_{c}") for c in ("tz_name", "date_order", "abbreviations")))
-    joined = df.join(zones, F.col(site) == F.col("_site"), "left")
-    raw = F.regexp_replace(F.lower(strip_blanks(F.col(text))), r"\s+", " ")
+    kept = [c for c in df.columns if c not in (out, f"{out}_format")]
+    rows = df.select(F.struct(*kept).alias("_row"), F.col(text).alias("_text"), F.col(site).alias("_at"))
+    joined = rows.join(zones, F.col("_at") == F.col("_site"), "left")
+    raw = F.regexp_replace(F.lower(strip_blanks(F.col("_text"))), r"\s+", " ")
     joined = joined.withColumn("_t", raw)
     kind = F.lit(None).cast("string")
     for name, pattern, _ in reversed(_CASCADE):
@@ -124,4 +127,4 @@ def normalise_timestamps(df: DataFrame, text: str, site: str, sites: DataFrame,
     instant = F.when(F.col("_kind") == "epoch", epoch).when(zoned, F.col("_local") - offset.cast("long") * 1000000).when(F.col("_fits_before"), F.col("_before")).otherwise(F.col("_after"))
     joined = joined.withColumns({"_flag": flag, "_instant": instant})
     result = joined.withColumn(out, F.coalesce("_flag", _shown(F.col("_instant")), F.lit("none"))).withColumn(f"{out}_format", F.col("_kind"))
-    return result.select(*df.columns, out, f"{out}_format")
+    return result.select("_row.*", out, f"{out}_format")
