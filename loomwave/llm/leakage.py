@@ -42,6 +42,10 @@ class Settings:
     block_chars: int = 4_000_000  # characters of evaluation items taken together
 
 
+#: Words up to which a block of passages is multiplied as a dense matrix, and not entry by entry.
+DENSE_WORDS = 4096
+
+
 class Items:
     """The words of a block of evaluation items, as numbers of one vocabulary."""
 
@@ -172,7 +176,11 @@ def _gram_times(index: DataFrame, weights: np.ndarray, probe: np.ndarray) -> np.
                 if rows is None:
                     continue
                 for starts, names, w, v in _blocks(np.frombuffer(rows, np.int32).astype(np.int64), np.frombuffer(words, np.int32).astype(np.int64), weights):
-                    if len(names):
+                    if len(names) and len(weights) <= DENSE_WORDS:
+                        rows_of = np.zeros((len(names), len(weights)), np.float32)
+                        rows_of[np.repeat(np.arange(len(names)), np.diff(np.append(starts, len(w)))), w] = v
+                        total += rows_of.T @ (rows_of @ probe.astype(np.float32))
+                    elif len(names):
                         latent = _project(starts, w, v, probe)
                         np.add.at(total, w, v[:, None] * np.repeat(latent, np.diff(np.append(starts, len(w))), axis=0))
         yield _row(None, None, total)
