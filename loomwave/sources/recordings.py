@@ -138,3 +138,96 @@ class _OpenReader(DataSourceReader):
                 record = f.read(OpenRecording.RECORD)
                 stamp, count = struct.unpack("<qH", record[:10])
                 yield channel, sfreq, i, stamp, (np.frombuffer(record, ">i2", count, 12) * volts).tolist()
+
+
+def load_conditions(spark: SparkSession, path: str, value_type: str, conditions: list[str], average: bool = False) -> DataFrame:
+    """Derivatives of one kind (zscore, power, significance or pval) under path/<kind>, partitioned by subject and condition.
+
+    Only the wanted partitions are read; what is missing is absent. power is divided by the deviation of all its
+    values. average takes the mean over trials (columns subject, condition, event, channel, t, v).
+    """
+    df = spark.read.option("mergeSchema", "false").parquet(f"{path}/{value_type}").where(F.col("condition").isin(*conditions))
+    df = df.withColumn("event", F.element_at(F.split("event", "/"), -1))
+    if value_type == "power":
+        spread = df.agg(F.stddev_pop("v").alias("_s"))
+        df = df.join(F.broadcast(spread)).withColumn("v", F.col("v") / F.nullif("_s", F.lit(0.0))).drop("_s")
+    return df.groupBy("subject", "condition", "event", "channel", "t").agg(F.avg("v").alias("v")) if average else df
+
+
+class RhdRecording(DataSource):
+    """Amplifier signals of RHD2000 files (format version 1 and up, 60 or 128 samples a block): channel, sfreq, block,
+    timestamp (of the first sample, in samples) and values in microvolts. One partition per `blocks` blocks.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "rhd_recording"
+
+    def schema(self) -> str:
+        return "channel string, sfreq double, block long, timestamp long, values array<double>"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _RhdReader(self.options)
+
+
+class _RhdReader(DataSourceReader):
+    MAGIC = 0xC6912702
+
+    def __init__(self, options):
+        self.path, self.blocks = options["path"], int(options.get("blocks", 500))
+
+    def _header(self, f) -> dict:
+        take = lambda fmt: struct.unpack("<" + fmt, f.read(struct.calcsize("<" + fmt)))
+
+        def text() -> str:
+            (n,) = take("I")
+            return "" if n == 0xFFFFFFFF else f.read(n).decode("utf-16-le")
+
+        magic, major, minor = take("Ihh")
+        if magic != self.MAGIC:
+            raise ValueError(f"{self.path} is no RHD file")
+        (rate,) = take("f")
+        take("h6f")  # filters that were on, and their corners
+        take("h2f")  # notch mode, impedance frequencies
+        for _ in range(3):
+            text()
+        version = (major, minor)
+        sensors = take("h")[0] if version >= (1, 1) else 0
+        board = take("h")[0] if version >= (1, 3) else 0
+        if version >= (2, 0):
+            text()
+        kinds: dict[int, list[str]] = {k: [] for k in range(6)}
+        for _ in range(take("h")[0]):
+            text(), text()
+            on, channels, _ = take("hhh")
+            for _ in range(channels):
+                name, _ = text(), text()
+                _, _, kind, enabled, _, _ = take("hhhhhh")
+                take("4h2f")  # trigger settings and impedance
+                if on and enabled:
+                    kinds[kind].append(name)
+        samples = 128 if major >= 2 else 60
+        n = {k: len(v) for k, v in kinds.items()}
+        size = samples * 4 + samples * 2 * n[0] + samples // 4 * 2 * n[1] + 2 * n[2] + samples * 2 * n[3] + 2 * sensors + (samples * 2 if n[4] else 0) + (samples * 2 if n[5] else 0)
+        signed = version >= (1, 2)
+        return {"names": kinds[0], "rate": rate, "samples": samples, "size": size, "start": f.tell(), "signed": signed, "board": board}
+
+    def partitions(self):
+        import os
+
+        with open(self.path, "rb") as f:
+            h = self._header(f)
+        n = (os.path.getsize(self.path) - h["start"]) // h["size"]
+        return [InputPartition((a, min(a + self.blocks, n))) for a in range(0, n, self.blocks)]
+
+    def read(self, partition):
+        a, b = partition.value
+        with open(self.path, "rb") as f:
+            h = self._header(f)
+            f.seek(h["start"] + a * h["size"])
+            for i in range(a, b):
+                block = f.read(h["size"])
+                (stamp,) = struct.unpack("<i" if h["signed"] else "<I", block[:4])
+                raw = np.frombuffer(block, "<u2", h["samples"] * len(h["names"]), h["samples"] * 4).reshape(len(h["names"]), h["samples"])
+                for name, row in zip(h["names"], (raw.astype(float) - 32768) * 0.195):
+                    yield name, float(h["rate"]), i, stamp, row.tolist()
