@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwave.operators import sampling, windows
@@ -260,19 +260,18 @@ def generalise_in_time(packed: DataFrame, trial: str, label: str, values: str, m
     return per.groupBy("train_window", "test_window").agg((F.sum("right") / F.sum("n")).alias("accuracy"), F.avg(F.col("right") / F.col("n")).alias("balanced"))
 
 
-def leave_one_channel_out(long: DataFrame, trial: str, label: str, channel: str, value: str, model: Callable[[], object], folds: int, seed: int) -> DataFrame:
-    """channel, accuracy without it: the importance of each channel. Channels are few; each is left out in its own groups."""
-    channels = long.select(F.col(channel).alias("left_out")).distinct()
-    kept = long.crossJoin(F.broadcast(channels)).where(F.col(channel) != F.col("left_out"))
-    packed = kept.groupBy("left_out", trial, label).agg(F.transform(F.array_sort(F.collect_list(F.struct(channel, value))), lambda s: s[value]).alias("x"))
-    dealt = packed.withColumn("_own", F.pmod(F.row_number().over(Window.partitionBy("left_out", label).orderBy(sampling.hash_order(trial, seed=seed), trial)), F.lit(folds)))
+def leave_one_channel_out(packed: DataFrame, trial: str, label: str, values: str, model: Callable[[], object], folds: int, seed: int) -> DataFrame:
+    """channel, accuracy without it: the importance of each place of the packed rows. Each place is left out in its own group."""
+    dealt = sampling.kfold(packed.select(trial, label, F.col(values).alias("x")), label, [sampling.hash_order(trial, seed=seed), F.col(trial)], folds, "_own")
+    spread = dealt.select(label, "x", "_own", F.explode(F.sequence(F.lit(0), F.size("x") - 1)).alias("channel"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, own = np.array(pdf["x"].tolist(), float), pdf[label].to_numpy(), pdf["_own"].to_numpy()
+        out = int(pdf["channel"].iloc[0])
+        x, y, own = np.delete(np.array(pdf["x"].tolist(), float), out, 1), pdf[label].to_numpy(), pdf["_own"].to_numpy()
         right = sum(int((model().fit(x[own != f], y[own != f]).predict(x[own == f]) == y[own == f]).sum()) for f in np.unique(own))
-        return pd.DataFrame({"channel": [str(pdf["left_out"].iloc[0])], "accuracy": [right / len(y)]})
+        return pd.DataFrame({"channel": [out], "accuracy": [right / len(y)]})
 
-    return dealt.groupBy("left_out").applyInPandas(run, "channel string, accuracy double")
+    return spread.groupBy("channel").applyInPandas(run, "channel int, accuracy double")
 
 
 def sequence_decode(df: DataFrame, keys: list[str], order: str, features: list[str], targets: list[str], model: Callable[[], object], train: int) -> DataFrame:

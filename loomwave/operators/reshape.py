@@ -106,13 +106,13 @@ def to_grid(df: DataFrame, chan_map: DataFrame, channel: str, value: str, column
     return placed.groupBy("row").pivot("col", columns).agg(F.avg(value))
 
 
-def box_mean(df: DataFrame, row: str, column: str, value: str, height: int, width: int) -> DataFrame:
-    """Mean over a box around each cell, zeros beyond the border: each cell is sent to the boxes that hold it."""
+def box_mean(df: DataFrame, row: str, column: str, value: str, height: int, width: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Mean over a box around each cell of each key's grid, zeros beyond the border: each cell is sent to the boxes that hold it."""
     dr, dc = height // 2, width // 2
     shifts = F.array(*(F.struct(F.lit(i).alias("r"), F.lit(j).alias("c")) for i in range(-dr, height - dr) for j in range(-dc, width - dc)))
-    sent = df.select(row, column, value, F.explode(shifts).alias("_s")).select((F.col(row) + F.col("_s.r")).alias(row), (F.col(column) + F.col("_s.c")).alias(column), value)
-    means = sent.groupBy(row, column).agg((F.sum(value) / (height * width)).alias("box_mean"))
-    return df.select(row, column).join(means, [row, column])
+    sent = df.select(*keys, row, column, value, F.explode(shifts).alias("_s")).select(*keys, (F.col(row) + F.col("_s.r")).alias(row), (F.col(column) + F.col("_s.c")).alias(column), value)
+    means = sent.groupBy(*keys, row, column).agg((F.sum(value) / (height * width)).alias("box_mean"))
+    return df.select(*keys, row, column).join(means, [*keys, row, column])
 
 
 def tiles(rows: int, columns: int, height: int, width: int, overlapping: bool) -> list[tuple[int, int]]:

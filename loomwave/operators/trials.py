@@ -153,10 +153,7 @@ def adjust_p(df: DataFrame, p: str, tie: str, method: str = "fdr", keys: list[st
 
 def significant_runs(df: DataFrame, keys: list[str], order: str, p: str, threshold: float) -> DataFrame:
     """Runs of p under the threshold with their smallest p."""
-    runs = windows.islands(df, keys, order, F.col(p) < threshold)
-    joined = runs.join(df, keys) if keys else runs.join(F.broadcast(df))
-    inside = joined.where(F.col(order).between(F.col("run_start"), F.col("run_end")))
-    return inside.groupBy(*keys, "run_start", "run_end", "length").agg(F.min(p).alias("least_p"))
+    return windows.islands(df, keys, order, F.col(p) < threshold, F.min(p).alias("least_p"))
 
 
 def pairwise_rank_sum(df: DataFrame, channel: str, label: str, value: str) -> DataFrame:
@@ -241,12 +238,12 @@ def flatten_nested(df: DataFrame, column: str, names: list[str]) -> DataFrame:
     return out.withColumnRenamed("_v", "value")
 
 
-def to_nested(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Rows as one map of maps; null leaves, and levels with none left, are dropped. For small results."""
-    now, name = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")), "_v"
+def to_nested(df: DataFrame, group: list[str], keys: list[str], value: str, out: str) -> DataFrame:
+    """Per group one map of maps over `keys`; null leaves, and levels with none left, are dropped."""
+    now = df.where(F.col(value).isNotNull()).select(*group, *keys, F.col(value).alias("_v"))
     for i in range(len(keys), 0, -1):
-        entry = F.map_from_entries(F.collect_list(F.struct(F.col(keys[i - 1]).alias("k"), F.col(name).alias("v"))))
-        now = now.groupBy(*keys[: i - 1]).agg(entry.alias("_v"))
+        entry = F.map_from_entries(F.collect_list(F.struct(F.col(keys[i - 1]).alias("k"), F.col("_v").alias("v"))))
+        now = now.groupBy(*group, *keys[: i - 1]).agg(entry.alias("_v"))
     return now.withColumnRenamed("_v", out)
 
 

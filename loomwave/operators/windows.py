@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def islands(df: DataFrame, keys: list[str], order: str, flag: Column) -> DataFrame:
-    """Runs of consecutive rows with the flag: keys, run_start, run_end, length."""
+def islands(df: DataFrame, keys: list[str], order: str, flag: Column, *aggregates: Column) -> DataFrame:
+    """Runs of consecutive rows with the flag: keys, run_start, run_end, length, and further aggregates of their rows."""
     w = Window.partitionBy(*keys).orderBy(order)
     marked = df.withColumn("_i", F.row_number().over(w)).withColumn("_f", flag)
     runs = marked.where("_f").withColumn("_g", F.col("_i") - F.row_number().over(w))
-    return runs.groupBy(*keys, "_g").agg(F.min(order).alias("run_start"), F.max(order).alias("run_end"), F.count("*").alias("length")).drop("_g")
+    return runs.groupBy(*keys, "_g").agg(F.min(order).alias("run_start"), F.max(order).alias("run_end"), F.count("*").alias("length"), *aggregates).drop("_g")
 
 
 def sliding(df: DataFrame, keys: list[str], order: str, size: int, aggregates: dict[str, Column]) -> DataFrame:

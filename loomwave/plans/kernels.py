@@ -216,8 +216,7 @@ def generalise_in_time(spark, d):
 
 @query()
 def channel_importance(spark, d):
-    el = long(spark, d).where("t < 6")
-    return decoding.leave_one_channel_out(el, "trial", "label", "t", "v", decoding.Discriminant, 4, 7)
+    return decoding.leave_one_channel_out(packed(spark, d), "trial", "label", "values", decoding.Discriminant, 4, 7)
 
 
 @query()
@@ -249,7 +248,7 @@ def grid_bayes_decode(spark, d):
 def spark_logistic(spark, d):
     from pyspark.ml.functions import array_to_vector
 
-    e = packed(spark, d).select("trial", F.col("label").cast("double").alias("label"), array_to_vector(F.slice("values", 1, 8)).alias("features"))
+    e = packed(spark, d).select("trial", F.col("label").cast("double").alias("label"), array_to_vector("values").alias("features"))
     model = decoding.spark_classifier("logistic", maxIter=10).fit(e)
     return statistics.confusion(model.transform(e).select(F.col("label").cast("long").alias("t"), F.col("prediction").cast("long").alias("p")), "t", "p")
 

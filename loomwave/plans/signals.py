@@ -509,10 +509,10 @@ def chop_windows(spark, d):
     return out.select("trial", F.col("w").cast("long").alias("w"), r6(F.aggregate("x", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-@query(f"WITH {_EL}, g AS (SELECT trial, CAST(floor(t / 8) AS BIGINT) AS r, t % 8 AS c, v FROM el), s AS (SELECT a.trial, a.r, a.c, sum(b.v) / 9 AS m FROM g a JOIN g b ON a.trial = b.trial AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 WHERE a.trial < 20 GROUP BY ALL) SELECT r, c, round(m, 6) + 0.0 AS box_mean FROM s WHERE trial = 7")
+@query(f"WITH {_EL}, g AS (SELECT trial, CAST(floor(t / 8) AS BIGINT) AS r, t % 8 AS c, v FROM el) SELECT a.trial, a.r, a.c, round(sum(b.v) / 9, 6) + 0.0 AS box_mean FROM g a JOIN g b ON a.trial = b.trial AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL")
 def spatial_smooth(spark, d):
-    grid = long(spark, d).where("trial = 7").select(F.floor(F.col("t") / 8).cast("long").alias("r"), (F.col("t") % 8).alias("c"), "v")
-    return reshape.box_mean(grid, "r", "c", "v", 3, 3).select("r", "c", r6("box_mean").alias("box_mean"))
+    grid = long(spark, d).select("trial", F.floor(F.col("t") / 8).cast("long").alias("r"), (F.col("t") % 8).alias("c"), "v")
+    return reshape.box_mean(grid, "r", "c", "v", 3, 3, ["trial"]).select("trial", "r", "c", r6("box_mean").alias("box_mean"))
 
 
 # ---- sampling and inference --------------------------------------------------------------------------

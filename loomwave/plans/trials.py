@@ -37,10 +37,10 @@ def response_filter(spark, d):
     return trials.response_times(li, "l_discount", "response", 30000.0, 0.1).select("l_orderkey", "l_linenumber", F.round("rt", 6).alias("rt"))
 
 
-@query("SELECT o.event_id AS onset, s.event_id AS sample, s.event_id - o.event_id AS rel FROM events o JOIN events s ON s.event_id >= o.event_id - 5 AND s.event_id < o.event_id + 10 WHERE o.event_type = 'signup' AND o.user_id % 10 = 3")
+@query("SELECT o.event_id AS onset, s.event_id AS sample, s.event_id - o.event_id AS rel FROM events o JOIN events s ON s.event_id >= o.event_id - 5 AND s.event_id < o.event_id + 10 WHERE o.event_type = 'signup'")
 def split_by_sample(spark, d):
     ev = table(spark, d, "events")
-    onsets = ev.where("event_type = 'signup' and user_id % 10 = 3").select(F.col("event_id").alias("onset"))
+    onsets = ev.where("event_type = 'signup'").select(F.col("event_id").alias("onset"))
     return trials.split_by_sample(ev.select(F.col("event_id").alias("sample")), onsets, "sample", "onset", 5, 10).select("onset", "sample", "rel")
 
 
@@ -135,11 +135,11 @@ def best_parameter(spark, d):
     return losses.groupBy("l_returnflag").agg(F.min(F.struct("m", "l_linenumber")).alias("b")).select("l_returnflag", F.col("b.l_linenumber").cast("long").alias("best"), F.col("b.m").alias("loss"))
 
 
-@query(f"WITH {_EL} SELECT trial, label, t, round(v, 6) + 0.0 AS v FROM el WHERE trial < 50")
+@query(f"WITH {_EL} SELECT trial, label, t, round(v, 6) + 0.0 AS v FROM el")
 def nested_round_trip(spark, d):
-    el = long(spark, d).where("trial < 50").select(F.col("trial").cast("string").alias("trial"), F.col("label").cast("string").alias("label"), F.col("t").cast("string").alias("t"), "v")
-    flat = trials.flatten_nested(trials.to_nested(el, ["trial", "label", "t"], "v", "tree"), "tree", ["trial", "label", "t"])
-    return flat.select(F.col("trial").cast("long").alias("trial"), F.col("label").cast("int").alias("label"), F.col("t").cast("long").alias("t"), r6("value").alias("v"))
+    el = long(spark, d).select("trial", F.col("label").cast("string").alias("label"), F.col("t").cast("string").alias("t"), "v")
+    flat = trials.flatten_nested(trials.to_nested(el, ["trial"], ["label", "t"], "v", "tree"), "tree", ["label", "t"])
+    return flat.select("trial", F.col("label").cast("int").alias("label"), F.col("t").cast("long").alias("t"), r6("value").alias("v"))
 
 
 @query()

@@ -58,7 +58,7 @@ class Constant:
 
 def test_nested_and_adjusted(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", None), ("b", "y", None)], "r string, c string, v double")
-    tree = trials.to_nested(df, ["r", "c"], "v", "tree").collect()[0]["tree"]
+    tree = trials.to_nested(df.withColumn("g", F.lit(1)), ["g"], ["r", "c"], "v", "tree").collect()[0]["tree"]
     assert tree == {"a": {"x": 1.0}}
     p = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03), (4, 0.5)], "k int, p double")
     got = {r["k"]: r["p_adjusted"] for r in trials.adjust_p(p, "p", "k").collect()}
