@@ -152,7 +152,7 @@ def header_changes(lines: DataFrame, base: dict[str, str]) -> DataFrame:
     they are shuffled, so a large file costs one small row per task.
     """
     names = list(base)
-    kinds = parse_lines(lines, names).where("reason is null").select("file_id", F.posexplode("kinds").alias("at", "kind"))
+    kinds = parse_lines(lines, names, distinct=False).where("reason is null").select("file_id", F.posexplode("kinds").alias("at", "kind"))
     types = kinds.groupBy("file_id", "at").agg(F.max("kind").alias("kind")).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "kind"))).alias("kinds"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

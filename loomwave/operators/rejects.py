@@ -109,13 +109,14 @@ def _as_double(column: pa.Array, kinds: pa.Array) -> pa.Array:
     return pa.array([float(x) if ok else None for x, ok in zip(bare.to_pylist(), number.to_pylist())], pa.float64())
 
 
-def parse_lines(lines: DataFrame, base: list[str]) -> DataFrame:
+def parse_lines(lines: DataFrame, base: list[str], distinct: bool = True) -> DataFrame:
     """Every line but the headers, typed, with the reason where it is no sound row of its file.
 
     lines: line_id, file_id, line_no, raw_line. base: the expected column names. Reasons: no_header (the file
     has none), broken_quoting, wrong_field_count, bad_onset, bad_response_time; sound rows have null. fields holds
     the cell texts, kinds their kinds (0 empty or n/a, 1 number, 2 other); both null for structural rejects.
-    A null raw_line counts as an empty line. Repeated lines give one row. Extra columns are dropped.
+    A null raw_line counts as an empty line. Repeated lines give one row (distinct=False keeps them, for callers
+    that aggregate anyway and need no shuffle of whole rows). Extra columns are dropped.
     Headers meet the lines in a join on file_id, which AQE splits for a file that holds much of the table.
     """
     body = lines.where("line_no > 1").select("line_id", "file_id", "line_no", F.coalesce("raw_line", F.lit("")).alias("raw_line"))
@@ -160,4 +161,5 @@ def parse_lines(lines: DataFrame, base: list[str]) -> DataFrame:
                 names=["line_id", "file_id", "line_no", "fields", "kinds", "onset", "response_time", "reason"],
             )
 
-    return joined.select("line_id", "file_id", "line_no", "raw_line", "columns", "onset_at", "response_at").mapInArrow(check, _PARSED).dropDuplicates(["line_id"])
+    parsed = joined.select("line_id", "file_id", "line_no", "raw_line", "columns", "onset_at", "response_at").mapInArrow(check, _PARSED)
+    return parsed.dropDuplicates(["line_id"]) if distinct else parsed

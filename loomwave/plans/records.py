@@ -32,7 +32,8 @@ def _parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _parsed(spark, d).where("reason is not null").select("line_id")
+    parsed = rejects.parse_lines(table(spark, d, "event_lines"), list(_events_base(spark, d)), distinct=False)
+    return parsed.where("reason is not null").select("line_id").distinct()
 
 
 def p2_rows(spark: SparkSession, d: str) -> DataFrame:
