@@ -119,3 +119,50 @@ i AS (SELECT *, sum(CASE WHEN before IS NULL OR before < s THEN 1 ELSE 0 END) OV
 SELECT file_id, trial_type, min(s) AS period_from, max(f) AS period_to, count(*) AS n_intervals FROM i GROUP BY file_id, trial_type, island
 """,
 }
+
+_FIELD = r'(?:[^"\t]*|"(?:[^"]|"")*")'
+_LINES = rf"""
+WITH b AS (SELECT list(field_path) AS base FROM sidecar_schema WHERE file_kind = 'events'),
+h AS (SELECT file_id, string_split(regexp_replace(min(raw_line), '\r$', ''), chr(9)) AS cols FROM event_lines WHERE line_no = 1 GROUP BY file_id),
+u AS (SELECT file_id, cols, [c for c in cols if NOT list_contains(base, c)] AS unknown, [c for c in base if NOT list_contains(cols, c)] AS absent, base FROM h, b),
+l AS (SELECT DISTINCT line_id, file_id, regexp_replace(raw_line, '\r$', '') AS s FROM event_lines WHERE line_no > 1),
+f AS (SELECT line_id, u.*, regexp_full_match(s, '(?s){_FIELD}(?:\t{_FIELD})*') AS sound, [CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END for x in regexp_extract_all(s || chr(9), '(?s)({_FIELD})\t', 1)] AS v FROM l JOIN u USING (file_id)),
+k AS (SELECT *, [CASE WHEN trim(x) IN ('', 'n/a') THEN 0 WHEN regexp_full_match(x, '\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*') THEN 1 ELSE 2 END for x in v] AS kinds,
+  list_position(cols, 'onset') AS o, CASE WHEN list_contains(cols, 'response_time') THEN list_position(cols, 'response_time') WHEN len(unknown) = 1 THEN list_position(cols, unknown[1]) END AS r FROM f),
+c AS (SELECT *, NOT sound OR len(v) <> len(cols) OR kinds[o] <> 1 OR coalesce(kinds[r] = 2, false) AS bad FROM k)
+"""
+
+ORACLE["p2_found"] = _LINES + "SELECT line_id FROM c WHERE bad"
+
+
+def _level_sql(level: str) -> str:
+    """Changes of one level of the sidecars: fields of the base there against the keys that stand there."""
+    path = "$" + "".join(f'."{p}"' for p in level.split(".")) if level else "$"
+    prefix = f"'{level}.' || " if level else ""
+    depth = f"field_path LIKE '{level}.%' AND NOT contains(field_path[{len(level) + 2}:], '.')" if level else "NOT contains(field_path, '.')"
+    name = f"field_path[{len(level) + 2}:]" if level else "field_path"
+    return f"""
+SELECT file_id, field_path, change_kind FROM (
+  WITH o AS (SELECT DISTINCT file_id, json_extract(body, '{path}') AS j FROM sidecars WHERE json_type(body, '{path}') = 'OBJECT'),
+  kt AS (SELECT file_id, k, CASE json_type(j, '$."' || k || '"') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END AS t FROM (SELECT file_id, j, unnest(json_keys(j)) AS k FROM o)),
+  b AS (SELECT field_path, {name} AS k, json_type AS t FROM sidecar_schema WHERE file_kind = 'ieeg' AND {depth}),
+  x AS (SELECT o.file_id, b.field_path, b.t FROM o CROSS JOIN b WHERE NOT EXISTS (SELECT 1 FROM kt WHERE kt.file_id = o.file_id AND kt.k = b.k)),
+  n AS (SELECT kt.*, row_number() OVER (PARTITION BY file_id, t ORDER BY k) AS i FROM kt WHERE k NOT IN (SELECT k FROM b) AND t IS NOT NULL),
+  a AS (SELECT file_id, t, count(*) AS n FROM x GROUP BY ALL)
+  SELECT x.file_id, x.field_path, CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.file_id = x.file_id AND n.t = x.t) THEN 'renamed' ELSE 'removed' END AS change_kind FROM x
+  UNION ALL SELECT n.file_id, {prefix}n.k, 'added' FROM n LEFT JOIN a USING (file_id, t) WHERE i > coalesce(a.n, 0)
+  UNION ALL SELECT kt.file_id, b.field_path, 'retyped' FROM kt JOIN b USING (k) WHERE kt.t <> b.t)"""
+
+
+ORACLE["p3_found"] = (
+    _LINES
+    + """,
+m AS (SELECT file_id, any_value(cols) AS cols, any_value(unknown) AS unknown, any_value(absent) AS absent, any_value(base) AS base FROM u GROUP BY file_id),
+d AS (SELECT file_id, pos, max(kind) AS kind FROM (SELECT file_id, unnest(range(1, len(kinds) + 1)) AS pos, unnest(kinds) AS kind FROM c WHERE NOT bad) GROUP BY ALL),
+s AS (SELECT file_id, field_path, json_type, CASE WHEN list_contains(cols, field_path) THEN list_position(cols, field_path) WHEN len(unknown) = 1 AND list_contains(absent, field_path) THEN list_position(cols, unknown[1]) END AS pos FROM m, sidecar_schema WHERE file_kind = 'events')
+SELECT file_id, unnest(absent) AS field_path, CASE WHEN len(unknown) > 0 THEN 'renamed' ELSE 'removed' END AS change_kind FROM m
+UNION SELECT file_id, unnest(unknown), 'added' FROM m WHERE len(absent) = 0
+UNION SELECT file_id, field_path, 'retyped' FROM s JOIN d USING (file_id, pos) WHERE (kind = 1 AND json_type <> 'number') OR (kind = 2 AND json_type <> 'string')
+UNION """
+    + " UNION ".join(_level_sql(level) for level in ("", "HardwareFilters", "HardwareFilters.Highpass RC filter"))
+)
