@@ -166,3 +166,20 @@ UNION SELECT file_id, field_path, 'retyped' FROM s JOIN d USING (file_id, pos) W
 UNION """
     + " UNION ".join(_level_sql(level) for level in ("", "HardwareFilters", "HardwareFilters.Highpass RC filter"))
 )
+
+ORACLE["p4_found"] = r"""
+WITH s AS (SELECT DISTINCT scan_id, trim(acq_time) AS t, site FROM scans),
+x AS (SELECT *, CASE WHEN regexp_matches(t, '(AM|PM)$') THEN '' ELSE regexp_extract(t, '(Z|[+-][0-9]{2}:?[0-9]{2}|[A-Z]{2,5})$', 1) END AS z FROM s LEFT JOIN sites USING (site)),
+y AS (SELECT *, regexp_replace(trim(t[1:len(t) - len(z)]), '^[A-Za-z]{3}, ', '') AS b FROM x),
+w AS (SELECT *, CASE WHEN regexp_matches(b, '^[0-9]{4}-') THEN coalesce(try_cast(replace(b, 'T', ' ') AS TIMESTAMP), try_strptime(b, '%Y-%m-%d %H:%M'))
+  WHEN regexp_matches(b, '^[0-9]{8}T?[0-9]{6}$') THEN try_strptime(b, ['%Y%m%dT%H%M%S', '%Y%m%d%H%M%S']) WHEN regexp_matches(b, '^[0-9]{4}/') THEN try_strptime(b, ['%Y/%m/%d %H:%M', '%Y/%m/%d %H:%M:%S'])
+  WHEN regexp_matches(b, '^[0-9]{1,2}\.') THEN try_strptime(b, ['%d.%m.%Y %H:%M', '%d.%m.%Y %H:%M:%S']) WHEN regexp_matches(b, '^[A-Z][a-z]{2} [0-9]') THEN try_strptime(b, '%b %d, %Y %I:%M %p') WHEN regexp_matches(b, '^[0-9]{1,2} [A-Z]') THEN try_strptime(b, '%d %b %Y %H:%M:%S')
+  WHEN date_order = 'mdy' THEN try_strptime(b, ['%m/%d/%Y %I:%M:%S.%f %p', '%m/%d/%Y %I:%M:%S %p', '%m/%d/%Y %H:%M']) WHEN date_order IS NOT NULL THEN try_strptime(b, ['%d/%m/%Y %H:%M', '%d/%m/%Y %H:%M:%S']) END AS local FROM y),
+o AS (SELECT *, epoch_us(local) AS l, CASE WHEN z = 'Z' THEN 0 WHEN regexp_matches(z, '^[+-]') THEN (CASE WHEN z[1] = '-' THEN -1 ELSE 1 END) * (CAST(z[2:3] AS INT) * 3600 + CAST(z[-2:] AS INT) * 60)
+  ELSE map {'GMT': 0, 'BST': 3600, 'CET': 3600, 'CEST': 7200, 'EST': -18000, 'EDT': -14400, 'CST': -21600, 'CDT': -18000, 'MST': -25200, 'IST': 19800, 'JST': 32400, 'AEST': 36000, 'AEDT': 39600}[z] END AS off FROM w),
+c AS (SELECT *, l - (epoch_us(timezone(tz_name, make_timestamptz(l - 86400000000))) - (l - 86400000000)) AS u1, l - (epoch_us(timezone(tz_name, make_timestamptz(l + 86400000000))) - (l + 86400000000)) AS u2 FROM o),
+f AS (SELECT *, epoch_us(timezone(tz_name, make_timestamptz(u1))) = l AS f1, epoch_us(timezone(tz_name, make_timestamptz(u2))) = l AS f2 FROM c)
+SELECT scan_id, CASE WHEN regexp_matches(t, '^([0-9]{10}|[0-9]{13})$') THEN strftime(make_timestamp(CAST(t AS BIGINT) * CASE WHEN len(t) = 10 THEN 1000000 ELSE 1000 END), '%Y-%m-%dT%H:%M:%S.%fZ')
+  WHEN local IS NULL OR year(local) < 1925 THEN 'none' WHEN z <> '' THEN coalesce(strftime(make_timestamp(l - CAST(off AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S.%fZ'), 'none') WHEN tz_name IS NULL THEN 'none'
+  WHEN f1 AND f2 AND u1 <> u2 THEN 'ambiguous' WHEN NOT f1 AND NOT f2 THEN 'nonexistent' ELSE strftime(make_timestamp(CASE WHEN f1 THEN u1 ELSE u2 END), '%Y-%m-%dT%H:%M:%S.%fZ') END AS acq_utc FROM f
+"""
