@@ -329,3 +329,35 @@ def cross_correlation_lag(x: np.ndarray, template: np.ndarray) -> np.ndarray:
     c = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(template, size)), size)
     lag = np.argmax(c, axis=-1)
     return np.where(lag > size // 2, lag - size, lag)[:, None].astype(float)
+
+
+def smoothed_log_power(x: np.ndarray, sfreq: float, low: float, high: float, smooth: float, baseline: int) -> np.ndarray:
+    """log10 of the band's analytic power, smoothed by a Gaussian of `smooth` seconds, as z-scores of the first `baseline` samples."""
+    n = x.shape[-1]
+    freqs = np.fft.fftfreq(n, 1 / sfreq)
+    analytic = np.fft.ifft(np.fft.fft(x) * np.where((freqs >= low) & (freqs <= high), 2.0, 0.0))
+    damp = np.exp(-2 * (np.pi * np.fft.rfftfreq(n, 1 / sfreq) * smooth) ** 2)
+    power = np.fft.irfft(np.fft.rfft(np.abs(analytic) ** 2) * damp, n)
+    log = np.log10(np.maximum(power, 1e-300))
+    first = log[:, :baseline]
+    return (log - first.mean(1, keepdims=True)) / np.maximum(first.std(1, ddof=1, keepdims=True), 1e-12)
+
+
+def mode_powers(x: np.ndarray, modes: int, rounds: int = 10) -> np.ndarray:
+    """Mean power of each empirical mode of the signals (signals x modes), by sifting with linear envelopes."""
+    out = np.zeros((len(x), modes))
+    for i, signal in enumerate(x):
+        rest = signal.astype(float)
+        at = np.arange(len(rest))
+        for m in range(modes):
+            h = rest.copy()
+            for _ in range(rounds):
+                d = np.diff(h)
+                tops = np.nonzero((d[:-1] > 0) & (d[1:] <= 0))[0] + 1
+                lows = np.nonzero((d[:-1] < 0) & (d[1:] >= 0))[0] + 1
+                if len(tops) < 2 or len(lows) < 2:
+                    break
+                h = h - (np.interp(at, tops, h[tops]) + np.interp(at, lows, h[lows])) / 2
+            out[i, m] = (h**2).mean()
+            rest = rest - h
+    return out

@@ -158,6 +158,8 @@ QUERIES |= {
     "welch_density": _spectral(lambda x: spectral.welch(x, 64.0, 32)),
     "notch": _spectral(lambda x: spectral.notch(x, 64.0, 16.0)),
     "band_power": _spectral(lambda x: spectral.band_power(x, 64.0, 8.0, 16.0)),
+    "travelling_power": _spectral(lambda x: spectral.smoothed_log_power(x, 64.0, 8.0, 16.0, 0.02, 16)),
+    "mode_powers": _spectral(lambda x: spectral.mode_powers(x, 3)),
     "trigger_lag": _spectral(lambda x: spectral.cross_correlation_lag(x, np.hanning(16))),
 }
 

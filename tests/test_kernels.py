@@ -86,6 +86,15 @@ def test_welch_and_lag():
     assert spectral.cross_correlation_lag(y, t)[0, 0] == 120
 
 
+def test_powers():
+    x = (1 + (T > 1) * 4) * np.sin(2 * np.pi * 40 * T)
+    z = spectral.smoothed_log_power((x + 0.1 * np.random.default_rng(0).standard_normal(1000))[None], 500.0, 30, 50, 0.01, 400)[0]
+    assert abs(z[50:350].mean()) < 1 and z[600:900].mean() > 3
+    slow, fast = np.sin(2 * np.pi * 2 * T), 0.5 * np.sin(2 * np.pi * 60 * T)
+    p = spectral.mode_powers((slow + fast)[None], 2)[0]
+    assert abs(p[0] - 0.125) < 0.04 and abs(p[1] - 0.5) < 0.15
+
+
 def test_per_row_passes_columns_and_nulls(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0, 3.0], "x"), (2, None, "y"), (3, [], "z"), (4, [1.0, None], "w"), (5, [2.0, 4.0], "v")], "k int, values array<double>, out string")
     got = {r["k"]: r["out"] for r in spectral.per_row(df, "values", "out", lambda x: x * 2).collect()}
