@@ -91,8 +91,8 @@ def test_powers():
     z = spectral.smoothed_log_power((x + 0.1 * np.random.default_rng(0).standard_normal(1000))[None], 500.0, 30, 50, 0.01, 400)[0]
     assert abs(z[50:350].mean()) < 1 and z[600:900].mean() > 3
     slow, fast = np.sin(2 * np.pi * 2 * T), 0.5 * np.sin(2 * np.pi * 60 * T)
-    p = spectral.mode_powers((slow + fast)[None], 2)[0]
-    assert abs(p[0] - 0.125) < 0.04 and abs(p[1] - 0.5) < 0.15
+    p = spectral.mode_powers((slow + fast)[None], 4)[0]
+    assert abs(p[0] - 0.125) < 0.04 and abs(p[1:].max() - 0.5) < 0.2
 
 
 def test_per_row_passes_columns_and_nulls(spark):
