@@ -15,7 +15,7 @@ def strip_blanks(c: Column) -> Column:
 
 def normal_key(c: Column) -> Column:
     """Equal for keys that differ in outer blanks, case, a leading ``./``, leading zeros of numbers or ``\\`` for ``/``."""
-    path = F.translate(F.lower(strip_blanks(c)), "\\", "/")
+    path = F.replace(F.lower(strip_blanks(c)), F.lit("\\"), F.lit("/"))
     bare = F.when(path.startswith("./"), F.substring(path, 3, 2**31 - 1)).otherwise(path)
     return F.regexp_replace(bare, r"(?<![0-9])0+(?=[0-9])", "")
 
