@@ -165,24 +165,42 @@ def page_features(documents: DataFrame, settings: Settings) -> tuple[DataFrame,
     return rows.where("doc_id is not null").drop("word", "n", "n_dotted"), words
 
 
-def closing_scores(pages: DataFrame, words: DataFrame, settings: Settings) -> DataFrame:
+def near_classes(pages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """copy_key, class of the texts that have a likely near-copy: one class per connected group of `pairs`.
+
+    Least labels spread along the pairs and are looked up again, until none moves.
+    """
+    edges = materialised(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = materialised(edges.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
+    while True:
+        beside = edges.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("label").alias("least"))
+        up = labels.select(F.col("doc_id").alias("label"), F.col("label").alias("up"))
+        spread = labels.join(beside, "doc_id").join(up, "label").select("doc_id", F.least("label", "least", "up").alias("new"), "label")
+        spread = materialised(spread)
+        labels = spread.select("doc_id", F.col("new").alias("label"))
+        if spread.where("new <> label").isEmpty():
+            break
+    return pages.select("doc_id", "copy_key").join(labels, "doc_id").groupBy("copy_key").agg(F.xxhash64(F.min("label")).alias("class"))
+
+
+def closing_scores(pages: DataFrame, words: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
     """doc_id, copy_key, source, `sound` and `open`: pages that end neither with a finished sentence nor with words that close pages.
 
     The terminality of a word at a distance is its share of occurrences there, over that of all words. As a cut
     leaves pieces of words at the very end, a last word counts only if earlier words close most pages that end
-    with it. A page that has a length at which its source's pages pile up is open too if its last stored line, away
-    from the end of the order of reading, ends no sentence. Exact copies count once. Only aggregated counts are
-    joined; totals are one row.
+    with it. A page that has a length at which its source's pages pile up is open too if its last stored line ends no
+    sentence, whatever its closing. A class of near-copies counts once among the pages that end alike or are as long:
+    copies cut at the same place show no closing. Only aggregated counts are joined; totals are one row.
     """
     usual = pages.where("dotted is not null").groupBy(F.col("dotted").alias("word")).agg(F.count("*").alias("ends"))
     dots = usual.join(words, "word").select("word", "ends", "n_dotted")
     overall = dots.agg(F.sum("ends").alias("e"), F.sum("n_dotted").alias("d"))
     rare = dots.join(F.broadcast(overall)).where((F.col("n_dotted") >= settings.abbreviation_support) & (F.col("ends") * F.col("d") < settings.abbreviation * F.col("e") * F.col("n_dotted"))).select(F.col("word").alias("dotted"), F.lit(True).alias("rare"))
     known = F.col("dotted").isin(*ABBREVIATIONS)
-    ended = pages.join(rare, "dotted", "left")
-    ended = materialised(ended.select("doc_id", "copy_key", "source", "n_chars", "n_bytes", "stored_final", "closing", "broken_off", (F.col("final") & ~F.coalesce(known | F.col("rare"), F.lit(False))).alias("sound")))
-    last = ended.where("not sound").select("doc_id", "copy_key", F.posexplode("closing").alias("k", "word"))
-    at_end = last.groupBy("word", "k", "copy_key").agg(F.lit(1).alias("one")).groupBy("word", "k").agg(F.count("*").alias("ends")).where(F.col("ends") >= settings.support)
+    ended = pages.join(rare, "dotted", "left").join(classes, "copy_key", "left")
+    ended = materialised(ended.select("doc_id", "copy_key", F.coalesce("class", "copy_key").alias("class"), "source", "n_chars", "n_bytes", "stored_final", "closing", "broken_off", (F.col("final") & ~F.coalesce(known | F.col("rare"), F.lit(False))).alias("sound")))
+    last = ended.where("not sound").select("doc_id", "class", F.posexplode("closing").alias("k", "word"))
+    at_end = last.groupBy("word", "k", "class").agg(F.lit(1).alias("one")).groupBy("word", "k").agg(F.count("*").alias("ends")).where(F.col("ends") >= settings.support)
     totals = words.agg(F.sum("n").alias("all_words")).join(F.broadcast(ended.agg(F.sum((~F.col("sound")).cast("long")).alias("unsound"))))
     lift = F.col("ends") * F.col("all_words") / (F.col("n") * F.greatest(F.col("unsound"), F.lit(1)))
     lifted = at_end.join(words, "word").join(F.broadcast(totals)).select("word", "k", lift.alias("lift"))
@@ -191,20 +209,20 @@ def closing_scores(pages: DataFrame, words: DataFrame, settings: Settings) -> Da
     high = F.col("lift") >= settings.lift
     strong = lifted.where("k > 0").withColumn("strong", high | (adjacent & (before >= settings.lift) & (F.col("lift") >= settings.beside))).where("strong").select("word", "k")
     closed = materialised(last.join(strong, ["word", "k"], "left_semi").select("doc_id").distinct().withColumn("closes", F.lit(True)))
-    finals = last.where("k = 0").join(closed, "doc_id", "left").groupBy("word", "copy_key").agg(F.max(F.coalesce("closes", F.lit(False)).cast("int")).alias("c"))
+    finals = last.where("k = 0").join(closed, "doc_id", "left").groupBy("word", "class").agg(F.max(F.coalesce("closes", F.lit(False)).cast("int")).alias("c"))
     shares = finals.groupBy("word").agg(F.count("*").alias("ends"), F.sum("c").alias("c")).where((F.col("ends") >= settings.last_support) & (F.col("c") >= settings.last_share * F.col("ends")))
     last_words = shares.join(lifted.where((F.col("k") == 0) & high & (F.length("word") >= settings.last_letters)), "word", "left_semi")
     also = last.where("k = 0").join(last_words, "word", "left_semi").select("doc_id", F.lit(True).alias("closes"))
     closed = materialised(closed.unionByName(also).distinct())
     judged = ended.join(closed, "doc_id", "left").join(_limits(ended, settings), ["source", "n_chars", "n_bytes"], "left")
     unsound = ~F.col("sound") & F.col("closes").isNull()
-    open_ = unsound | F.col("broken_off") | (F.coalesce("at_limit", F.lit(False)) & ~F.col("stored_final") & F.col("sound"))
+    open_ = unsound | F.col("broken_off") | (F.coalesce("at_limit", F.lit(False)) & ~F.col("stored_final"))
     return judged.select("doc_id", "copy_key", "source", open_.alias("open"), "sound")
 
 
 def _limits(pages: DataFrame, settings: Settings) -> DataFrame:
     """source, n_chars, n_bytes of pages whose length in characters or bytes is one at which their source's pages pile up."""
-    texts = pages.select("source", "n_chars", "n_bytes", "copy_key").distinct()
+    texts = pages.select("source", "n_chars", "n_bytes", "class").distinct()
     sizes = texts.groupBy("source", "n_chars", "n_bytes").agg(F.count("*").alias("n"))
     of_source = sizes.groupBy("source").agg(F.sum("n").alias("pages"))
     both = sizes
@@ -266,9 +284,8 @@ def ends_early(a: str, b: str, settings: Settings) -> bool | None:
     return len(rest_y) > len(rest_x) or cut_word
 
 
-def early_copies(documents: DataFrame, pages: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id of the texts (one of each group of exact copies) that end before a verified near-copy does."""
-    pairs = materialised(near_pairs(pages, settings))
+def early_copies(documents: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
+    """doc_id of the texts (one of each group of exact copies) that end before a verified near-copy of `pairs` does."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = documents.select("doc_id", "text").join(needed, "doc_id", "left_semi")
     both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
@@ -292,8 +309,9 @@ def find_truncated(documents: DataFrame, settings: Settings | None = None) -> Da
     """
     settings = settings or Settings()
     pages, words = page_features(documents, settings)
-    scores = closing_scores(pages, words, settings)
-    early = early_copies(documents, pages, settings).join(pages.select("doc_id", "copy_key"), "doc_id").select("copy_key", F.lit(True).alias("early")).distinct()
+    pairs = materialised(near_pairs(pages, settings))
+    scores = closing_scores(pages, words, near_classes(pages, pairs), settings)
+    early = early_copies(documents, pairs, settings).join(pages.select("doc_id", "copy_key"), "doc_id").select("copy_key", F.lit(True).alias("early")).distinct()
     judged = scores.join(early, "copy_key", "left")
     cut: Column = F.col("open") | (F.coalesce("early", F.lit(False)) & ~F.col("sound"))
     reason = F.when(F.col("early"), "near_copy_goes_on").otherwise("open_ending")

@@ -80,6 +80,44 @@ def test_found(documents):
     assert {r["doc_id"]: r["reason"] for r in got}[501] == "near_copy_goes_on"
 
 
+SCHEMA = "doc_id long, text string, source string, ocr_lines array<struct<line_no:int,x:int,y:int,w:int,h:int,conf:float>>, word string"
+
+
+def test_copies_cut_alike_show_no_closing(spark):
+    rng = random.Random(21)
+    rows = [row(i, "\n".join(lines(article(rng)))) for i in range(60)]
+    body, end = article(rng, 10), " Lastly Zebulon Quennerstedt brought hither seventeen uncommonly gnarled"
+    cut = set()
+    for i in range(12):
+        words = body.split()
+        words[7 * i] += "q"
+        rows.append(row(100 + i, "\n".join(lines(" ".join(words) + end))))
+        cut.add(100 + i)
+    assert {r["doc_id"] for r in truncation.find_truncated(spark.createDataFrame(rows, SCHEMA)).collect()} == cut
+
+
+def test_a_closing_at_the_limit_is_cut(spark):
+    rng = random.Random(22)
+    imprint = "\nPrinted for the Proprietors by Selby & Co., Oldbury"
+    rows = [row(i, "\n".join(lines(article(rng))) + (imprint if i % 2 else "")) for i in range(60)]
+    for i in range(6):
+        text = "\n".join(lines(article(rng, 20)))
+        rows.append(row(100 + i, text[:400].rstrip(".\n ").ljust(400, "e"), "limited"))
+    text = "\n".join(lines(article(rng, 20)))
+    rows.append(row(110, text[: 400 - len(imprint)] + imprint, "limited"))
+    rows.append(row(111, text[: 380 - len(imprint)] + imprint, "limited"))
+    assert {r["doc_id"] for r in truncation.find_truncated(spark.createDataFrame(rows, SCHEMA)).collect()} == {*range(100, 106), 110}
+
+
+def test_near_classes(spark):
+    pages = spark.createDataFrame([(i, i % 20) for i in range(40)], "doc_id long, copy_key long")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(11, 12)], "a long, b long")
+    groups = {}
+    for r in truncation.near_classes(pages, chain).collect():
+        groups.setdefault(r["class"], set()).add(r["copy_key"])
+    assert sorted(map(len, groups.values())) == [2, 10]
+
+
 def test_report(documents):
     df, cut = documents
     report = {r["source"]: r for r in truncation.truncation_report(df, truncation.find_truncated(df)).collect()}
