@@ -48,6 +48,7 @@ class Settings:
     abbreviation_support: int = 200
     short: float = 3.0  # letters that a line's text may fall behind its box
     counted: int = 300_000  # distinct words counted before a task hands its counts on
+    marks: int = 1 << 23  # bits that mark texts as likely repeated
 
 
 #: Abbreviations that end no sentence (fixed values).
@@ -56,7 +57,7 @@ ABBREVIATIONS = frozenset("d mr mrs dr st rev messrs esq hon capt col sergt ald
 _MONEY = re.compile(r"[0-9]\s*[sd]\.$")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NO_SHINGLE = np.uint32(2**32 - 1)
-_PAGE = "doc_id long, copy_key long, source string, n_chars int, n_bytes int, n_words int, closing array<string>, final boolean, dotted string, broken_off boolean, stored_final boolean, signature binary, word string, n long, n_dotted long"
+_PAGE = "doc_id long, copy_key long, source string, n_chars int, n_bytes int, n_words int, closing array<string>, final boolean, dotted string, broken_off boolean, stored_final boolean, signature binary, word string, n long, n_dotted long, repeated string"
 _NAMES = [f.strip().split(" ")[0] for f in _PAGE.split(",")]
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
 _KINDS = {f.strip().split(" ")[0]: _ARROW[f.strip().split(" ")[1]] for f in _PAGE.split(",")}
@@ -99,21 +100,57 @@ def sentence_final(text: str) -> tuple[bool, str | None]:
     return True, tail[-1].decode() if tail else None
 
 
-def _features(settings: Settings):
+def _count(read: str, words: list[bytes], counts: Counter[bytes], dotted: Counter[bytes]) -> None:
+    counts.update(words)
+    dotted.update(w for t in read.split() if t[-1] == "." and t[-2:-1] != "." for w in page_words(t)[-1:])
+
+
+def _counted(counts: Counter[bytes], dotted: Counter[bytes]) -> pa.RecordBatch:
+    columns = {"word": pa.array([w.decode() for w in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64()), "n_dotted": pa.array([dotted.get(w, 0) for w in counts], pa.int64())}
+    return _batch(columns, len(counts))
+
+
+def _repeated_words(settings: Settings):
+    """The word counts of texts given once each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
         dotted: Counter[bytes] = Counter()
+        for batch in batches:
+            for read in batch["read"].to_pylist():
+                _count(read, page_words(read), counts, dotted)
+            if len(counts) > settings.counted:
+                yield _counted(counts, dotted)
+                counts.clear()
+                dotted.clear()
+        yield _counted(counts, dotted)
 
-        def counted() -> pa.RecordBatch:
-            words = [w for w in counts]
-            columns = {"word": pa.array([w.decode() for w in words], pa.string()), "n": pa.array(list(counts.values()), pa.int64()), "n_dotted": pa.array([dotted.get(w, 0) for w in words], pa.int64())}
-            return _batch(columns, len(words))
+    return run
+
+
+def _repeat_marks(pages: DataFrame, settings: Settings) -> np.ndarray:
+    """Bits at the copy keys, modulo their number, of texts that stand in several rows. At most settings.marks / 64 rows reach the driver."""
+    bit = F.pmod("copy_key", F.lit(settings.marks))
+    several = pages.groupBy("copy_key").agg(F.count("*").alias("n")).where("n > 1").select(bit.alias("bit"))
+    cells = several.groupBy(F.expr("bit div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask"))
+    marks = np.zeros(settings.marks // 64, np.int64)
+    found = cells.toPandas()
+    marks[found["cell"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64)
+    return marks
 
+
+def _features(settings: Settings, marks: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
+        dotted: Counter[bytes] = Counter()
+        handed: set[int] = set()
         for batch in batches:
             _, offsets, local, crossed = reading_orders(batch["xs"], batch["ys"])
             widths = batch["ws"].flatten().to_numpy(zero_copy_only=False)
             keys, sources = batch["copy_key"].to_pylist(), batch["source"].to_pylist()
-            rows = []
+            bits = batch["copy_key"].to_numpy(zero_copy_only=False) % settings.marks
+            marked = (marks[bits // 64] >> (bits % 64)) & 1
+            rows, repeated = [], []
             for i, (doc_id, text) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())):
                 if not text or not text.strip():
                     continue
@@ -126,19 +163,24 @@ def _features(settings: Settings):
                         stored = sentence_final(text)[0]
                         off = _broken_off(lines, widths[offsets[i] : offsets[i + 1]], settings.short)
                 words = page_words(read)
-                counts.update(words)
-                dotted.update(w for t in read.split() if t[-1] == "." and t[-2:-1] != "." for w in page_words(t)[-1:])
+                if not marked[i]:
+                    _count(read, words, counts, dotted)
+                elif keys[i] not in handed:
+                    handed.add(keys[i])
+                    repeated.append((keys[i], read))
                 final, word = sentence_final(read)
                 sig = signature(shingle_hashes(words, settings.shingle), settings.bands * settings.rows)
                 rows.append((doc_id, keys[i], sources[i], len(text), len(text.encode()), len(words), [w.decode() for w in words[: -settings.closing - 1 : -1]], final, word, off, final if stored is None else stored, sig.tobytes()))
             if rows:
                 cols = list(zip(*rows))
                 yield _batch({n: pa.array(c, _KINDS[n]) for n, c in zip(_NAMES, cols)}, len(rows))
+            if repeated:
+                yield _batch({n: pa.array(c, _KINDS[n]) for n, c in zip(("copy_key", "repeated"), zip(*repeated))}, len(repeated))
             if len(counts) > settings.counted:
-                yield counted()
+                yield _counted(counts, dotted)
                 counts.clear()
                 dotted.clear()
-        yield counted()
+        yield _counted(counts, dotted)
 
     return run
 
@@ -157,12 +199,18 @@ def _broken_off(lines: list[str], widths: np.ndarray, short: float) -> bool:
 
 
 def page_features(documents: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Per page with a text its closing, signature and copy key; per word its counts in the corpus. One narrow scan, written once."""
+    """Per page with a text its closing, signature and copy key; per word its counts over distinct texts. A narrow scan, written once, after one that marks repeated texts.
+
+    Words of marked texts are counted apart, once a text: each task hands on one reading of each, and the least is taken.
+    """
     boxes = lambda c: F.coalesce(F.col(f"ocr_lines.{c}"), F.array().cast("array<int>")).alias(f"{c}s")
     pages = documents.select("doc_id", "text", "source", F.xxhash64("text", F.length("text")).alias("copy_key"), boxes("x"), boxes("y"), boxes("w"))
-    rows = materialised(pages.mapInArrow(_features(settings), _PAGE))
-    words = materialised(rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_dotted").alias("n_dotted")))
-    return rows.where("doc_id is not null").drop("word", "n", "n_dotted"), words
+    keys = documents.select(F.xxhash64("text", F.length("text")).alias("copy_key")).where("copy_key is not null")
+    rows = materialised(pages.mapInArrow(_features(settings, _repeat_marks(keys, settings)), _PAGE))
+    once = rows.where("repeated is not null").groupBy("copy_key").agg(F.min("repeated").alias("read")).select("read")
+    counts = rows.where("word is not null").select("word", "n", "n_dotted").unionByName(once.mapInArrow(_repeated_words(settings), _PAGE).select("word", "n", "n_dotted"))
+    words = materialised(counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_dotted").alias("n_dotted")))
+    return rows.where("doc_id is not null").drop("word", "n", "n_dotted", "repeated"), words
 
 
 def near_classes(pages: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -190,9 +238,9 @@ def closing_scores(pages: DataFrame, words: DataFrame, classes: DataFrame, setti
     leaves pieces of words at the very end, a last word counts only if earlier words close most pages that end
     with it. A page that has a length at which its source's pages pile up is open too if its last stored line ends no
     sentence, whatever its closing. A class of near-copies counts once among the pages that end alike or are as long:
-    copies cut at the same place show no closing. Only aggregated counts are joined; totals are one row.
+    copies cut at the same place show no closing. Unsound pages are counted by class too, words over distinct texts. Only aggregated counts are joined; totals are one row.
     """
-    usual = pages.where("dotted is not null").groupBy(F.col("dotted").alias("word")).agg(F.count("*").alias("ends"))
+    usual = pages.where("dotted is not null").groupBy("copy_key").agg(F.min("dotted").alias("word")).groupBy("word").agg(F.count("*").alias("ends"))
     dots = usual.join(words, "word").select("word", "ends", "n_dotted")
     overall = dots.agg(F.sum("ends").alias("e"), F.sum("n_dotted").alias("d"))
     rare = dots.join(F.broadcast(overall)).where((F.col("n_dotted") >= settings.abbreviation_support) & (F.col("ends") * F.col("d") < settings.abbreviation * F.col("e") * F.col("n_dotted"))).select(F.col("word").alias("dotted"), F.lit(True).alias("rare"))
@@ -201,7 +249,7 @@ def closing_scores(pages: DataFrame, words: DataFrame, classes: DataFrame, setti
     ended = materialised(ended.select("doc_id", "copy_key", F.coalesce("class", "copy_key").alias("class"), "source", "n_chars", "n_bytes", "stored_final", "closing", "broken_off", (F.col("final") & ~F.coalesce(known | F.col("rare"), F.lit(False))).alias("sound")))
     last = ended.where("not sound").select("doc_id", "class", F.posexplode("closing").alias("k", "word"))
     at_end = last.groupBy("word", "k", "class").agg(F.lit(1).alias("one")).groupBy("word", "k").agg(F.count("*").alias("ends")).where(F.col("ends") >= settings.support)
-    totals = words.agg(F.sum("n").alias("all_words")).join(F.broadcast(ended.agg(F.sum((~F.col("sound")).cast("long")).alias("unsound"))))
+    totals = words.agg(F.sum("n").alias("all_words")).join(F.broadcast(ended.where("not sound").select("class").distinct().agg(F.count("*").alias("unsound"))))
     lift = F.col("ends") * F.col("all_words") / (F.col("n") * F.greatest(F.col("unsound"), F.lit(1)))
     lifted = at_end.join(words, "word").join(F.broadcast(totals)).select("word", "k", lift.alias("lift"))
     before = F.lag("lift").over(Window.partitionBy("word").orderBy("k"))

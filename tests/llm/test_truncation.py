@@ -96,6 +96,26 @@ def test_copies_cut_alike_show_no_closing(spark):
     assert {r["doc_id"] for r in truncation.find_truncated(spark.createDataFrame(rows, SCHEMA)).collect()} == cut
 
 
+def test_exact_copies_count_once(spark):
+    rng = random.Random(23)
+    imprint = "Printed for the Proprietors by Selby & Co., Oldbury"
+    rows = []
+    for i in range(60):
+        words = article(rng).split()
+        for k, w in enumerate(["printed", "for", "proprietors", "by", "selby", "co", "oldbury"] * 2):
+            if i % 3 == 0:
+                words.insert(9 * k + 3, w)
+        rows.append(row(i, "\n".join(lines(" ".join(words))) + ("\n" + imprint if i % 3 == 1 else "")))
+    hot = "Notice is hereby given that the harbour committee will"
+    rows += [row(1000 + i, hot) for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r["doc_id"] for r in truncation.find_truncated(df).collect()} == {*range(1000, 1900)}
+    _, words = truncation.page_features(df, truncation.Settings())
+    _, once = truncation.page_features(df.where("doc_id <= 1000"), truncation.Settings())
+    table = lambda w: {r["word"]: (r["n"], r["n_dotted"]) for r in w.collect()}
+    assert table(words) == table(once)
+
+
 def test_a_closing_at_the_limit_is_cut(spark):
     rng = random.Random(22)
     imprint = "\nPrinted for the Proprietors by Selby & Co., Oldbury"
