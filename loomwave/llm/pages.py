@@ -109,3 +109,42 @@ def deletions(word: bytes, most: int) -> set[bytes]:
 def tolerance(word: bytes) -> int:
     """Letters of a word that may be misread."""
     return 0 if len(word) < 2 else 1 if len(word) < 7 else 2
+
+
+#: Letters from which a word is compared by its pieces, as its deletions become too many.
+LONG_WORD = 25
+_PIECES = 5
+
+
+def pieces(word: bytes, length: int | None = None, shift: int = 0) -> set[tuple[int, bytes]]:
+    """Number and letters of a long word's pieces; with a length, what may be the pieces of a word of that length.
+
+    Two words that agree but for two letters on each side have at least one of five pieces in common, moved by two at most.
+    """
+    n = len(word) if length is None else length
+    cuts = [n * i // _PIECES for i in range(_PIECES + 1)]
+    return {(i, word[max(0, a + d) : max(0, b + d)]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) for d in range(-shift, shift + 1)}
+
+
+def common_letters(a: bytes, b: bytes) -> int:
+    """Length of the longest common subsequence of letters."""
+    at: dict[int, int] = {}
+    for i, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << i
+    state, full = 0, (1 << len(b)) - 1
+    for x in a:
+        seen = state | at.get(x, 0)
+        state = seen & ~(seen - (state << 1 | 1)) & full
+    return state.bit_count()
+
+
+def shares_letters(a: bytes, b: bytes, most: int) -> bool:
+    """Whether two words agree when up to `most` letters of each are left out."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    return common_letters(x, y) >= max(len(x), len(y)) - most
