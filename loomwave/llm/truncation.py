@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -298,52 +299,123 @@ def _pair_estimate(settings: Settings):
     return run
 
 
-def near_pairs(pages: DataFrame, settings: Settings) -> DataFrame:
-    """a, b: each distinct text with the longest text of every band that it shares, where they are likely near-copies.
+def _aligned_ends(x: list[bytes], y: list[bytes], size: int) -> tuple[int, int, int]:
+    """Length of the longest common subsequence of two texts' shingles, and the places in both where it first is complete.
 
-    Exact copies are first folded into one text by their key, so a large group of copies is one row per task
-    before any shuffle. A band names its longest text by an aggregation with partial combine, and each of its
-    other texts meets that one row: no pairs within a group.
+    One bit per shingle of y; rows of x in order, so repeated phrases are matched in the order in which they stand.
+    """
+    at: dict[tuple, int] = {}
+    for j in range(len(y) - size + 1):
+        key = tuple(y[j : j + size])
+        at[key] = at.get(key, 0) | 1 << j
+    state, full, most, end = 0, (1 << max(len(y) - size + 1, 0)) - 1, 0, -1
+    for i in range(len(x) - size + 1):
+        bits = at.get(tuple(x[i : i + size]))
+        if bits:
+            seen = state | bits
+            state = seen & ~(seen - (state << 1 | 1)) & full
+            n = state.bit_count()
+            if n > most:
+                most, end = n, i
+    return most, end, state.bit_length() - 1
+
+
+def compare_ends(a: str, b: str, settings: Settings) -> str | None:
+    """How the text a, aligned with b, ends: `early` or `inside` (b goes on, inside: within a sentence of b), `late` (a
+    goes on), `same`, `apart` (both go on, differently); None if they are no near-copies.
+
+    The alignment is the longest common subsequence of their shingles. Misread letters near the end make no
+    difference: what stands behind the alignment is compared by its letters.
     """
-    texts = pages.groupBy("copy_key", "n_words").agg(F.min(F.struct("doc_id", "signature")).alias("t")).select("t.*", "n_words")
-    cells = F.split(F.hex("signature"), f"(?<=\\G.{{{settings.rows * 8}}})")
-    bands = texts.select("doc_id", "n_words", F.posexplode(cells).alias("band", "cell")).where("cell <> ''").select("doc_id", "n_words", F.xxhash64("band", "cell").alias("key"))
-    longest = bands.groupBy("key").agg(F.max(F.struct("n_words", F.negative("doc_id"))).alias("m"), F.count("*").alias("size")).where("size > 1").select("key", F.negative(F.col("m")["col2"]).alias("b"))
-    pairs = bands.join(longest, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n_words").alias(f"n_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_pair_estimate(settings), "a long, b long")
-
-
-def ends_early(a: str, b: str, settings: Settings) -> bool | None:
-    """Whether the text a, aligned with b, ends before b does; None if they are no near-copies."""
     x, y = page_words(a), page_words(b)
-    size = settings.shingle
-    at = {}
-    for i in range(len(y) - size + 1):
-        at.setdefault(tuple(y[i : i + size]), i)
-    hits = [(i, at[s]) for i in range(len(x) - size + 1) if (s := tuple(x[i : i + size])) in at]
-    if len(hits) < settings.similarity * max(1, min(len(x), len(y)) - size + 1):
+    size = max(1, min(settings.shingle, len(x), len(y)))
+    shorter = min(len(x), len(y)) - size + 1
+    if shorter < 1:
+        return None
+    n, i, j = _aligned_ends(x, y, size)
+    if n < settings.similarity * shorter:
         return None
-    i, j = hits[-1]
     rest_x, rest_y = x[i + size :], y[j + size :]
-    if len(rest_x) > 2 * size:  # a goes on by itself
-        return False
-    cut_word = bool(rest_x) and len(rest_y) >= len(rest_x) and rest_y[len(rest_x) - 1] != rest_x[-1] and rest_y[len(rest_x) - 1].startswith(rest_x[-1])
-    return len(rest_y) > len(rest_x) or cut_word
+    letters_x, letters_y = b"".join(rest_x), b"".join(rest_y)
+    ahead = len(letters_y) - len(letters_x)
+    goes_on = ahead >= 2 or (ahead == 1 and letters_y.startswith(letters_x))
+    if min(len(rest_x), len(rest_y)) > 2 * size:
+        return "apart"
+    if goes_on:
+        return "inside" if _within_sentence(b, len(rest_y) - len(rest_x)) else "early"
+    return "late" if -ahead >= 2 or (ahead == -1 and letters_x.startswith(letters_y)) else "same"
+
+
+def _within_sentence(text: str, words: int) -> bool:
+    """Whether the last `words` words of a text begin within a sentence."""
+    tokens = [t for t in text.split() if page_words(t)]
+    at = len(tokens) - words
+    return 0 < at < len(tokens) and tokens[at][:1].islower() and not sentence_final(tokens[at - 1])[0]
 
 
-def early_copies(documents: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id of the texts (one of each group of exact copies) that end before a verified near-copy of `pairs` does."""
+def verified_ends(documents: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
+    """a, b, ends of the pairs that are near-copies by their alignment; texts are read for these pairs only."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = documents.select("doc_id", "text").join(needed, "doc_id", "left_semi")
+    texts = documents.select("doc_id", "text").join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            early = [bool(ends_early(a, b, settings)) for a, b in zip(pdf["text_a"], pdf["text_b"])]
-            yield pd.DataFrame({"doc_id": pdf["a"][early]})
+            out = pdf[["a", "b"]].assign(ends=[compare_ends(a, b, settings) for a, b in zip(pdf["text_a"], pdf["text_b"])])
+            yield out[out["ends"].notna()]
+
+    return both.mapInPandas(run, "a long, b long, ends string")
+
 
-    return both.select("a", "text_a", "text_b").mapInPandas(run, "doc_id long").distinct()
+def near_links(documents: DataFrame, pages: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Likely pairs a, b of distinct texts, and those that are near-copies by their alignment, with how a ends beside b.
+
+    Exact copies are first folded into one text by their key, so a large group of copies is one row per task before any
+    shuffle. A band names its longest text by an aggregation with partial combine, and each of its other texts meets
+    that one row: no pairs within a group. Texts that find no near-copy that reaches as far meet the next longest
+    text of each of their bands, round after round, until they do or their bands are used up; so no text is left
+    out because the longest of a band is a poor copy.
+    """
+    texts = pages.groupBy("copy_key", "n_words").agg(F.min(F.struct("doc_id", "signature")).alias("t")).select("t.*", "n_words")
+    width = settings.rows * 4
+    cells = F.transform(F.sequence(F.lit(0), F.lit(settings.bands - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * width + 1, F.lit(width))))
+    bands = texts.where("n_words > 0").select("doc_id", "n_words", F.explode(cells).alias("key"))
+    place = F.struct("n_words", F.negative("doc_id"))
+    longest = bands.groupBy("key").agg(F.max(place).alias("top"), F.count("*").alias("size")).where("size > 1").select("key", "top")
+    members = materialised(bands.join(longest, "key"))
+    top = members.select("key", "top").distinct()
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n_words").alias(f"n_{c}"))
+    seen, links, settled = [], [], []
+    while True:
+        below = members.select("key", "doc_id", "n_words").join(top, "key").where(place < F.col("top")).select("key", F.col("doc_id").alias("a"), F.negative(F.col("top")["col2"]).alias("b"))
+        below = materialised(reduce(lambda df, done: df.join(done, "a", "left_anti"), settled, below))
+        if below.isEmpty():
+            break
+        pairs = reduce(lambda df, old: df.join(old, ["a", "b"], "left_anti"), seen, below.select("a", "b").distinct())
+        likely = materialised(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_pair_estimate(settings), "a long, b long"))
+        links.append(materialised(verified_ends(documents, likely, settings)))
+        seen.append(likely)
+        settled.append(links[-1].where(F.col("ends").isin("early", "inside", "same")).select("a").distinct())
+        left = top.join(below.join(settled[-1], "a", "left_anti").select("key").distinct(), "key", "left_semi")
+        top = materialised(members.select("key", "doc_id", "n_words").join(left, "key").where(place < F.col("top")).groupBy("key").agg(F.max(place).alias("top")))
+    none = documents.sparkSession.createDataFrame([], "a long, b long, ends string")
+    return reduce(DataFrame.unionByName, seen, none.select("a", "b")).distinct(), reduce(DataFrame.unionByName, links, none)
+
+
+def early_texts(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """copy_key, inside: texts that end before a near-copy does (inside: within one of its sentences).
+
+    What a text ends together with ends as early; texts that end alike are joined into groups along their links.
+    """
+    early = links.where("ends in ('early', 'inside')").select(F.col("a").alias("doc_id"), (F.col("ends") == "inside").alias("inside"))
+    early = early.unionByName(links.where("ends = 'late'").select(F.col("b").alias("doc_id"), F.lit(False).alias("inside")))
+    early = materialised(early.join(pages.select("doc_id", "copy_key"), "doc_id").groupBy("copy_key").agg(F.max("inside").alias("inside")))
+    alike = links.where("ends = 'same'").select("a", "b")
+    if early.isEmpty() or alike.isEmpty():
+        return early
+    groups = materialised(near_classes(pages, alike))
+    ahead = groups.join(early, "copy_key").groupBy("class").agg(F.max("inside").alias("inside"))
+    return early.unionByName(groups.join(ahead, "class").select("copy_key", "inside")).groupBy("copy_key").agg(F.max("inside").alias("inside"))
 
 
 def find_truncated(documents: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -351,19 +423,18 @@ def find_truncated(documents: DataFrame, settings: Settings | None = None) -> Da
 
     documents: doc_id, text, source, ocr_lines (array of struct with x, y, w; null or of another length than the
     lines: the stored order is the order of reading). Reasons: near_copy_goes_on (a near-copy goes on beyond the end,
-    and the page ends no sentence), open_ending. Exact copies share their verdict. Null, empty and blank texts are
+    and the page ends no sentence or ends within one of the copy's), open_ending. Exact copies share their verdict. Null, empty and blank texts are
     no case; a repeated row gives one; whole texts are read. With few pages no closing words stand out, so
     a page without a final sentence mark counts as cut.
     """
     settings = settings or Settings()
     pages, words = page_features(documents, settings)
-    pairs = materialised(near_pairs(pages, settings))
-    scores = closing_scores(pages, words, near_classes(pages, pairs), settings)
-    early = early_copies(documents, pairs, settings).join(pages.select("doc_id", "copy_key"), "doc_id").select("copy_key", F.lit(True).alias("early")).distinct()
-    judged = scores.join(early, "copy_key", "left")
-    cut: Column = F.col("open") | (F.coalesce("early", F.lit(False)) & ~F.col("sound"))
-    reason = F.when(F.col("early"), "near_copy_goes_on").otherwise("open_ending")
-    return judged.where(cut).groupBy("doc_id").agg(F.min("source").alias("source"), F.min(reason).alias("reason"))
+    likely, links = near_links(documents, pages, settings)
+    scores = closing_scores(pages, words, near_classes(pages, likely), settings)
+    judged = scores.join(early_texts(pages, links).withColumn("early", F.lit(True)), "copy_key", "left")
+    early = F.coalesce("early", F.lit(False)) & (~F.col("sound") | F.coalesce("inside", F.lit(False)))
+    reason = F.when(early, "near_copy_goes_on").otherwise("open_ending")
+    return judged.where(F.col("open") | early).groupBy("doc_id").agg(F.min("source").alias("source"), F.min(reason).alias("reason"))
 
 
 def truncation_report(documents: DataFrame, found: DataFrame) -> DataFrame:

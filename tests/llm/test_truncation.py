@@ -154,11 +154,74 @@ def test_empty(documents):
 def test_alignment():
     s = truncation.Settings()
     whole = article(random.Random(1), 8)
-    assert truncation.ends_early(whole[: len(whole) * 9 // 10], whole, s) is True
-    assert truncation.ends_early(whole, whole, s) is False
-    assert truncation.ends_early(whole + " More text follows here and goes on for quite a while now indeed.", whole, s) is False
-    assert truncation.ends_early(article(random.Random(2), 8), whole, s) is None
-    assert truncation.ends_early("", whole, s) is None or truncation.ends_early("", whole, s) is False
+    compare = lambda a, b: truncation.compare_ends(a, b, s)
+    assert compare(whole[: len(whole) * 9 // 10], whole) in ("early", "inside")
+    assert compare(whole, whole) == "same"
+    assert compare(whole + " More text follows here and goes on for quite a while now indeed.", whole) == "late"
+    assert compare(article(random.Random(2), 8), whole) is None
+    assert compare("", whole) is None and compare(whole, "") is None
+    assert compare("one two", "one two three four five six seven") == "inside"
+
+
+def test_alignment_of_repeated_phrases():
+    s = truncation.Settings()
+    imprint = "Printed for the Proprietors by Selby & Co. at their office in Oldbury"
+    whole = f"{imprint} {article(random.Random(3), 10)} {imprint}"
+    assert truncation.compare_ends(whole, whole, s) == "same"
+    for share in (0.95, 0.9, 0.85):
+        cut = whole[: int(len(whole) * share)]
+        assert truncation.compare_ends(cut, whole, s) in ("early", "inside")
+        assert truncation.compare_ends(whole, cut, s) == "late"
+    assert truncation.compare_ends("word " * 3000, "word " * 4000, s) in ("early", "inside")
+
+
+def test_alignment_of_misread_ends():
+    s = truncation.Settings()
+    words = article(random.Random(5), 12).split()
+    misread = [*words[:-2], words[-2].replace("a", "x"), words[-1]]
+    assert truncation.compare_ends(" ".join(misread), " ".join(words), s) == "same"
+    words = words[:-2]
+    assert truncation.compare_ends(" ".join([*words[:-1], words[-1][:3]]), " ".join(words), s) in ("early", "inside")
+    assert truncation.compare_ends("He came with Mr.", "He came with Mr. smith to town and went home", s) == "early"
+    assert truncation.compare_ends("He came with the. ", "He came with the whole town and went home", s) == "inside"
+
+
+def noisy(rng, text, share):
+    return " ".join(w[: len(w) // 2] + "x" + w[len(w) // 2 + 1 :] if len(w) > 3 and rng.random() < share else w for w in text.split())
+
+
+def test_planted_near_copies_are_found(spark):
+    """By the near-copy step alone: every page ends with a sentence mark removed, so no closing tells it apart."""
+    rng = random.Random(31)
+    rows, cut, i = [], set(), 0
+    for _ in range(40):
+        whole = article(rng, 20)
+        rows.append((i, noisy(rng, whole, 0.01)))
+        part = whole[: int(len(whole) * rng.uniform(0.6, 0.97))]
+        rows.append((i + 1, noisy(rng, part, 0.01)))
+        cut.add(i + 1)
+        i += 2
+    df = spark.createDataFrame([row(k, "\n".join(lines(t))) for k, t in rows], SCHEMA)
+    s = truncation.Settings()
+    pages, _ = truncation.page_features(df, s)
+    early = truncation.early_texts(pages, truncation.near_links(df, pages, s)[1])
+    got = {r["doc_id"] for r in early.join(pages, "copy_key").collect()}
+    assert got <= cut and len(got) >= 0.9 * len(cut)
+
+
+def test_a_poor_longest_copy_hides_nothing(spark):
+    """The longest of a group is so misread that cut copies fail beside it; a cleaner whole one further down decides."""
+    rng = random.Random(32)
+    whole = article(rng, 25)
+    texts = {1: noisy(rng, whole, 0.09) + " Added at the end of it all.", 2: whole}
+    for i in range(6):
+        texts[10 + i] = " ".join(noisy(rng, whole, 0.025).split()[: -6 - i])
+    df = spark.createDataFrame([row(k, "\n".join(lines(t))) for k, t in texts.items()], SCHEMA)
+    s = truncation.Settings()
+    assert any(truncation.compare_ends(texts[10 + i], texts[1], s) is None for i in range(6))
+    pages, _ = truncation.page_features(df, s)
+    early = truncation.early_texts(pages, truncation.near_links(df, pages, s)[1])
+    assert {r["doc_id"] for r in early.join(pages, "copy_key").collect()} >= {10 + i for i in range(6)}
 
 
 def test_signatures_estimate_likeness():
