@@ -36,6 +36,7 @@ class Settings:
     rows: int = 3
     similarity: float = 0.8  # share of the shorter page's shingles that a near-copy carries
     likely: float = 0.5  # the same as estimated from signatures, below which a pair is not aligned
+    part: int = 10_000  # texts of a band that one task compares
     closing: int = 7  # words from the end whose terminality is looked at
     support: int = 4  # pages that must end alike
     lift: float = 30.0  # times chance
@@ -367,39 +368,101 @@ def verified_ends(documents: DataFrame, pairs: DataFrame, settings: Settings) ->
     return both.mapInPandas(run, "a long, b long, ends string")
 
 
-def near_links(documents: DataFrame, pages: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Likely pairs a, b of distinct texts, and those that are near-copies by their alignment, with how a ends beside b.
+def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last byte of each hash of the signatures: a quarter of their size, and alike by chance once in 256."""
+    for batch in batches:
+        if batch.num_rows:
+            marks = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint32).reshape(batch.num_rows, -1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([m.tobytes() for m in marks], pa.binary())], names=["doc_id", "coarse"])
 
-    Exact copies are first folded into one text by their key, so a large group of copies is one row per task before any
-    shuffle. A band names its longest text by an aggregation with partial combine, and each of its other texts meets
-    that one row: no pairs within a group. Texts that find no near-copy that reaches as far meet the next longest
-    text of each of their bands, round after round, until they do or their bands are used up; so no text is left
-    out because the longest of a band is a poor copy.
+
+def _leaders(settings: Settings):
+    """Of rows sorted by cell and falling length, each with every leader of its cell that it is like; a row that is like none leads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, leaders, n = None, [], 0
+        marks, words = np.zeros((0, settings.bands * settings.rows), np.uint8), np.zeros(0)
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            rows = zip(zip(batch["key"].to_pylist(), batch["salt"].to_pylist()), batch["doc_id"].to_pylist(), batch["n_words"].to_pylist(), batch["coarse"].to_pylist())
+            for key, doc_id, n_words, coarse in rows:
+                if key != cell:
+                    cell, leaders, n = key, [], 0
+                mark, size = np.frombuffer(coarse, np.uint8), max(n_words - settings.shingle + 1, 1)
+                j = np.maximum(((marks[:n] == mark).mean(1) - 1 / 256) * (256 / 255), 0)
+                like = np.nonzero(j * (words[:n] + size) / ((1 + j) * np.minimum(words[:n], size)) >= settings.likely)[0]
+                if len(like):
+                    out += [(leaders[i], doc_id, n_words) for i in like.tolist()]
+                else:
+                    if n == len(marks):
+                        marks = np.concatenate([marks, np.zeros((max(n, 8), marks.shape[1]), np.uint8)])
+                        words = np.concatenate([words, np.zeros(max(n, 8))])
+                    marks[n], words[n] = mark, size
+                    leaders.append(doc_id)
+                    n += 1
+                    out.append((doc_id, doc_id, n_words))
+            a, b, c = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32())], names=["leader", "doc_id", "n_words"])
+
+    return run
+
+
+def near_groups(texts: DataFrame, settings: Settings) -> DataFrame:
+    """leader, doc_id, n_words: texts that share a band with a longer one that they are likely near-copies of, under each such leader.
+
+    A band's texts pass in one sorted stream and are compared with the leaders of the band only, so texts that share
+    a band by chance cost a look and no row. A band of many texts is cut into parts; the leaders of its parts then
+    meet in one more stream.
     """
-    texts = pages.groupBy("copy_key", "n_words").agg(F.min(F.struct("doc_id", "signature")).alias("t")).select("t.*", "n_words")
     width = settings.rows * 4
     cells = F.transform(F.sequence(F.lit(0), F.lit(settings.bands - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * width + 1, F.lit(width))))
     bands = texts.where("n_words > 0").select("doc_id", "n_words", F.explode(cells).alias("key"))
-    place = F.struct("n_words", F.negative("doc_id"))
-    longest = bands.groupBy("key").agg(F.max(place).alias("top"), F.count("*").alias("size")).where("size > 1").select("key", "top")
-    members = materialised(bands.join(longest, "key"))
-    top = members.select("key", "top").distinct()
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", F.ceil(F.col("size") / settings.part).alias("parts"))
+    members = materialised(bands.join(shared, "key").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("parts"))))
+    coarse = texts.select("doc_id", "signature").mapInArrow(_coarse, "doc_id long, coarse binary")
+
+    def led(df: DataFrame) -> DataFrame:
+        placed = df.select("key", "salt", "doc_id", "n_words").join(coarse, "doc_id").repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("n_words"), "doc_id")
+        return placed.select("key", "salt", "doc_id", "n_words", "coarse").mapInArrow(_leaders(settings), "leader long, doc_id long, n_words int").distinct()
+
+    groups = materialised(led(members))
+    cut = members.where("parts > 1")
+    heads = cut.join(groups.where("leader = doc_id").select("doc_id"), "doc_id", "left_semi").withColumn("salt", F.lit(0).cast("long"))
+    above = materialised(led(heads).where("leader <> doc_id").select("leader", F.col("doc_id").alias("head")))
+    joined = groups.withColumnRenamed("leader", "head").join(above, "head").select("leader", "doc_id", "n_words")
+    every = groups.unionByName(joined).distinct()
+    return every.join(every.where("leader <> doc_id").select("leader").distinct(), "leader", "left_semi")
+
+
+def near_links(documents: DataFrame, pages: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Likely pairs a, b of distinct texts (b leads), and the pairs that are near-copies by their alignment, with how a ends beside b.
+
+    Exact copies are first folded into one text by their key, so a large group of copies is one row per task before any
+    shuffle. Each text of a group of near_groups meets the group's longest, its leader. Texts that find no near-copy
+    that reaches as far then meet others of their groups in a random order, twice as many each round, until they do or
+    have met all; so no text is left out because the longest of a group is a poor copy, the rounds are as many
+    as the logarithm of the largest group, and texts that find their copy early cost no more.
+    """
+    texts = pages.groupBy("copy_key", "n_words").agg(F.min(F.struct("doc_id", "signature")).alias("t")).select("t.*", "n_words")
+    groups = near_groups(texts, settings)
+    sized = groups.join(groups.groupBy("leader").agg(F.count("*").alias("size")), "leader")
+    drawn = F.pmod(F.xxhash64("doc_id", "leader"), F.lit(1 << 40)) * F.col("size")  # below 2^40: one of the group on average
+    members = materialised(sized.select("leader", "doc_id", "n_words", F.when(F.col("doc_id") == F.col("leader"), 0).otherwise(F.ceil(F.log2(F.greatest(drawn / (1 << 40), F.lit(1.0)))) + 1).cast("int").alias("round")))
+    rounds = members.agg(F.max("round")).first()[0]
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n_words").alias(f"n_{c}"))
-    seen, links, settled = [], [], []
-    while True:
-        below = members.select("key", "doc_id", "n_words").join(top, "key").where(place < F.col("top")).select("key", F.col("doc_id").alias("a"), F.negative(F.col("top")["col2"]).alias("b"))
-        below = materialised(reduce(lambda df, done: df.join(done, "a", "left_anti"), settled, below))
-        if below.isEmpty():
-            break
-        pairs = reduce(lambda df, old: df.join(old, ["a", "b"], "left_anti"), seen, below.select("a", "b").distinct())
-        likely = materialised(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_pair_estimate(settings), "a long, b long"))
+    place = F.struct("n_words", F.negative("doc_id"))
+    links, settled = [], []
+    for n in range(-1 if rounds is None else rounds + 1):
+        shorter = members.where("doc_id <> leader").select("leader", F.col("doc_id").alias("a"), place.alias("place_a"))
+        shorter = reduce(lambda df, done: df.join(done, "a", "left_anti"), settled, shorter)
+        met = shorter.join(members.where(F.col("round") == n).select("leader", F.col("doc_id").alias("b"), place.alias("place_b")), "leader").where("place_a < place_b")
+        likely = materialised(met.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_pair_estimate(settings), "a long, b long"))
+        if likely.isEmpty():
+            continue
         links.append(materialised(verified_ends(documents, likely, settings)))
-        seen.append(likely)
         settled.append(links[-1].where(F.col("ends").isin("early", "inside", "same")).select("a").distinct())
-        left = top.join(below.join(settled[-1], "a", "left_anti").select("key").distinct(), "key", "left_semi")
-        top = materialised(members.select("key", "doc_id", "n_words").join(left, "key").where(place < F.col("top")).groupBy("key").agg(F.max(place).alias("top")))
     none = documents.sparkSession.createDataFrame([], "a long, b long, ends string")
-    return reduce(DataFrame.unionByName, seen, none.select("a", "b")).distinct(), reduce(DataFrame.unionByName, links, none)
+    return members.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct(), reduce(DataFrame.unionByName, links, none)
 
 
 def early_texts(pages: DataFrame, links: DataFrame) -> DataFrame:

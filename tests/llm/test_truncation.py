@@ -209,7 +209,8 @@ def test_planted_near_copies_are_found(spark):
     assert got <= cut and len(got) >= 0.9 * len(cut)
 
 
-def test_a_poor_longest_copy_hides_nothing(spark):
+@pytest.mark.parametrize("part", [10_000, 2])
+def test_a_poor_longest_copy_hides_nothing(spark, part):
     """The longest of a group is so misread that cut copies fail beside it; a cleaner whole one further down decides."""
     rng = random.Random(32)
     whole = article(rng, 25)
@@ -217,7 +218,7 @@ def test_a_poor_longest_copy_hides_nothing(spark):
     for i in range(6):
         texts[10 + i] = " ".join(noisy(rng, whole, 0.025).split()[: -6 - i])
     df = spark.createDataFrame([row(k, "\n".join(lines(t))) for k, t in texts.items()], SCHEMA)
-    s = truncation.Settings()
+    s = truncation.Settings(part=part)
     assert any(truncation.compare_ends(texts[10 + i], texts[1], s) is None for i in range(6))
     pages, _ = truncation.page_features(df, s)
     early = truncation.early_texts(pages, truncation.near_links(df, pages, s)[1])
