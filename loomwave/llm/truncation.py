@@ -38,16 +38,15 @@ class Settings:
     likely: float = 0.5  # the same as estimated from signatures, below which a pair is not aligned
     part: int = 10_000  # texts of a band that one task compares
     closing: int = 7  # words from the end whose terminality is looked at
-    support: int = 4  # pages that must end alike
-    lift: float = 30.0  # times chance
+    lift: float = 30.0  # times chance that pages must end alike
     beside: float = 4.0  # the same, one word further from the end than a distance that has the lift
-    last_support: int = 6  # pages that must end with a word before it counts as a last word
-    last_share: float = 0.85  # of them that earlier words must close already
+    beside_evidence: float = 2.5  # and its log-likelihood ratio against chance
+    last_share: float = 0.85  # of the pages that end with a word, those that earlier words must close already before it counts as a last word
+    last_bound: float = 0.6  # lower bound of that share with 95 % confidence
     last_letters: int = 5  # letters that such a word must have, as cuts leave shorter pieces again and again
-    limit_support: int = 5  # pages of a source that must have the same length to show a limit
-    limit_share: float = 0.03  # of the source's pages
+    limit_evidence: float = 0.0  # log-likelihood ratio of such a pile against the source's usual ones, beyond the logarithm of their number
+    limit_share: float = 0.03  # of a source's pages that must have the same length to show a limit
     abbreviation: float = 0.1  # a dotted word that ends pages less often than this share of the usual is an abbreviation
-    abbreviation_support: int = 200
     short: float = 3.0  # letters that a line's text may fall behind its box
     counted: int = 300_000  # distinct words counted before a task hands its counts on
     marks: int = 1 << 23  # bits that mark texts as likely repeated
@@ -233,6 +232,18 @@ def near_classes(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     return pages.select("doc_id", "copy_key").join(labels, "doc_id").groupBy("copy_key").agg(F.xxhash64(F.min("label")).alias("class"))
 
 
+def evidence(seen: Column, expected: Column) -> Column:
+    """Log-likelihood ratio of a count against what chance lets expect (Poisson). Beyond the logarithm of the number of
+    counts looked at, fewer than about one of all of them is so far from chance by itself, in tables of any size."""
+    return F.coalesce(seen * F.log(F.nullif(seen, F.lit(0)) / expected), F.lit(0.0)) - (seen - expected)
+
+
+def lower_bound(hits: Column, n: Column, z: float = 1.96) -> Column:
+    """Lower end of the 95 % interval of a share (Wilson)."""
+    share = hits / n
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def closing_scores(pages: DataFrame, words: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
     """doc_id, copy_key, source, `sound` and `open`: pages that end neither with a finished sentence nor with words that close pages.
 
@@ -244,23 +255,25 @@ def closing_scores(pages: DataFrame, words: DataFrame, classes: DataFrame, setti
     """
     usual = pages.where("dotted is not null").groupBy("copy_key").agg(F.min("dotted").alias("word")).groupBy("word").agg(F.count("*").alias("ends"))
     dots = usual.join(words, "word").select("word", "ends", "n_dotted")
-    overall = dots.agg(F.sum("ends").alias("e"), F.sum("n_dotted").alias("d"))
-    rare = dots.join(F.broadcast(overall)).where((F.col("n_dotted") >= settings.abbreviation_support) & (F.col("ends") * F.col("d") < settings.abbreviation * F.col("e") * F.col("n_dotted"))).select(F.col("word").alias("dotted"), F.lit(True).alias("rare"))
+    overall = dots.agg(F.sum("ends").alias("e"), F.sum("n_dotted").alias("d"), F.count("*").alias("k"))
+    usual_ends = F.col("n_dotted") * F.col("e") / F.col("d")
+    rare = dots.join(F.broadcast(overall)).where((F.col("ends") < settings.abbreviation * usual_ends) & (evidence(F.col("ends"), usual_ends) >= F.log("k"))).select(F.col("word").alias("dotted"), F.lit(True).alias("rare"))
     known = F.col("dotted").isin(*ABBREVIATIONS)
     ended = pages.join(rare, "dotted", "left").join(classes, "copy_key", "left")
     ended = materialised(ended.select("doc_id", "copy_key", F.coalesce("class", "copy_key").alias("class"), "source", "n_chars", "n_bytes", "stored_final", "closing", "broken_off", (F.col("final") & ~F.coalesce(known | F.col("rare"), F.lit(False))).alias("sound")))
     last = ended.where("not sound").select("doc_id", "class", F.posexplode("closing").alias("k", "word"))
-    at_end = last.groupBy("word", "k", "class").agg(F.lit(1).alias("one")).groupBy("word", "k").agg(F.count("*").alias("ends")).where(F.col("ends") >= settings.support)
-    totals = words.agg(F.sum("n").alias("all_words")).join(F.broadcast(ended.where("not sound").select("class").distinct().agg(F.count("*").alias("unsound"))))
-    lift = F.col("ends") * F.col("all_words") / (F.col("n") * F.greatest(F.col("unsound"), F.lit(1)))
-    lifted = at_end.join(words, "word").join(F.broadcast(totals)).select("word", "k", lift.alias("lift"))
-    before = F.lag("lift").over(Window.partitionBy("word").orderBy("k"))
-    adjacent = F.lag("k").over(Window.partitionBy("word").orderBy("k")) == F.col("k") - 1
-    high = F.col("lift") >= settings.lift
-    strong = lifted.where("k > 0").withColumn("strong", high | (adjacent & (before >= settings.lift) & (F.col("lift") >= settings.beside))).where("strong").select("word", "k")
+    at_end = last.groupBy("word", "k", "class").agg(F.lit(1).alias("one")).groupBy("word", "k").agg(F.count("*").alias("ends")).where("ends > 1")
+    totals = words.agg(F.sum("n").alias("all_words"), (F.count("*") * settings.closing).alias("tests")).join(F.broadcast(ended.where("not sound").select("class").distinct().agg(F.count("*").alias("unsound"))))
+    chance = F.col("n") * F.greatest(F.col("unsound"), F.lit(1)) / F.col("all_words")
+    found = evidence(F.col("ends"), chance)
+    lifted = at_end.join(words, "word").join(F.broadcast(totals)).select("word", "k", (F.col("ends") / chance).alias("lift"), found.alias("evidence"), (found >= F.log("tests")).alias("sure"))
+    by = Window.partitionBy("word").orderBy("k")
+    high = F.col("sure") & (F.col("lift") >= settings.lift)
+    next_to = (F.lag("k").over(by) == F.col("k") - 1) & F.lag(high).over(by) & (F.col("lift") >= settings.beside) & (F.col("evidence") >= settings.beside_evidence)
+    strong = lifted.where("k > 0").withColumn("strong", high | next_to).where("strong").select("word", "k")
     closed = materialised(last.join(strong, ["word", "k"], "left_semi").select("doc_id").distinct().withColumn("closes", F.lit(True)))
     finals = last.where("k = 0").join(closed, "doc_id", "left").groupBy("word", "class").agg(F.max(F.coalesce("closes", F.lit(False)).cast("int")).alias("c"))
-    shares = finals.groupBy("word").agg(F.count("*").alias("ends"), F.sum("c").alias("c")).where((F.col("ends") >= settings.last_support) & (F.col("c") >= settings.last_share * F.col("ends")))
+    shares = finals.groupBy("word").agg(F.count("*").alias("ends"), F.sum("c").alias("c")).where((F.col("c") >= settings.last_share * F.col("ends")) & (lower_bound(F.col("c"), F.col("ends")) >= settings.last_bound))
     last_words = shares.join(lifted.where((F.col("k") == 0) & high & (F.length("word") >= settings.last_letters)), "word", "left_semi")
     also = last.where("k = 0").join(last_words, "word", "left_semi").select("doc_id", F.lit(True).alias("closes"))
     closed = materialised(closed.unionByName(also).distinct())
@@ -274,10 +287,12 @@ def _limits(pages: DataFrame, settings: Settings) -> DataFrame:
     """source, n_chars, n_bytes of pages whose length in characters or bytes is one at which their source's pages pile up."""
     texts = pages.select("source", "n_chars", "n_bytes", "class").distinct()
     sizes = texts.groupBy("source", "n_chars", "n_bytes").agg(F.count("*").alias("n"))
-    of_source = sizes.groupBy("source").agg(F.sum("n").alias("pages"))
     both = sizes
     for unit in ("n_chars", "n_bytes"):
-        piles = sizes.groupBy("source", unit).agg(F.sum("n").alias("pile")).join(of_source, "source").where((F.col("pile") >= settings.limit_support) & (F.col("pile") >= settings.limit_share * F.col("pages")))
+        lengths = sizes.groupBy("source", unit).agg(F.sum("n").alias("pile"))
+        of_source = lengths.groupBy("source").agg(F.sum("pile").alias("pages"), F.count("*").alias("k"))
+        chance = F.col("pages") / F.col("k")
+        piles = lengths.join(of_source, "source").where((F.col("pile") > chance) & (evidence(F.col("pile"), chance) >= F.log("k") + settings.limit_evidence) & (F.col("pile") >= settings.limit_share * F.col("pages")))
         both = both.join(piles.select("source", unit, F.lit(True).alias(f"limit_{unit}")), ["source", unit], "left")
     at = F.coalesce("limit_n_chars", "limit_n_bytes")
     return both.where(at.isNotNull()).select("source", "n_chars", "n_bytes", F.lit(True).alias("at_limit"))

@@ -241,3 +241,13 @@ def test_sentence_marks():
     assert truncation.sentence_final("for £3 4s..") == (True, None)
     assert truncation.sentence_final("to the rail-\nway.") == (True, "railway")
     assert truncation.sentence_final("and so,")[0] is False
+
+
+def test_evidence_grows_with_the_count(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(0, 1.0), (3, 3.0), (6, 0.2), (12, 0.4)], "seen long, chance double")
+    got = [r[0] for r in df.select(truncation.evidence(F.col("seen"), F.col("chance"))).collect()]
+    assert got[0] == pytest.approx(1.0) and got[1] == pytest.approx(0.0) and got[3] == pytest.approx(2 * got[2])
+    bound = [r[0] for r in spark.createDataFrame([(6, 6), (12, 14), (5, 5)], "c long, n long").select(truncation.lower_bound(F.col("c"), F.col("n"))).collect()]
+    assert bound == pytest.approx([0.6097, 0.6006, 0.5655], abs=1e-3)
