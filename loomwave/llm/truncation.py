@@ -369,10 +369,8 @@ def _within_sentence(text: str, words: int) -> bool:
     return 0 < at < len(tokens) and tokens[at][:1].islower() and not sentence_final(tokens[at - 1])[0]
 
 
-def verified_ends(documents: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
-    """a, b, ends of the pairs that are near-copies by their alignment; texts are read for these pairs only."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = documents.select("doc_id", "text").join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+def verified_ends(texts: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
+    """a, b, ends of the pairs that are near-copies by their alignment; texts: doc_id, text."""
     both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -458,13 +456,16 @@ def near_links(documents: DataFrame, pages: DataFrame, settings: Settings) -> tu
     have met all; so no text is left out because the longest of a group is a poor copy, the rounds are as many
     as the logarithm of the largest group, and texts that find their copy early cost no more.
     """
-    texts = pages.groupBy("copy_key", "n_words").agg(F.min(F.struct("doc_id", "signature")).alias("t")).select("t.*", "n_words")
+    texts = materialised(pages.groupBy("copy_key", "n_words").agg(F.min(F.struct("doc_id", "signature")).alias("t")).select("t.*", "n_words"))
     groups = near_groups(texts, settings)
     sized = groups.join(groups.groupBy("leader").agg(F.count("*").alias("size")), "leader")
     drawn = F.pmod(F.xxhash64("doc_id", "leader"), F.lit(1 << 40)) * F.col("size")  # below 2^40: one of the group on average
     members = materialised(sized.select("leader", "doc_id", "n_words", F.when(F.col("doc_id") == F.col("leader"), 0).otherwise(F.ceil(F.log2(F.greatest(drawn / (1 << 40), F.lit(1.0)))) + 1).cast("int").alias("round")))
     rounds = members.agg(F.max("round")).first()[0]
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n_words").alias(f"n_{c}"))
+    grouped = members.select("doc_id").distinct()
+    sides = materialised(texts.join(grouped, "doc_id", "left_semi"))
+    read = materialised(documents.select("doc_id", "text").join(grouped, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    side = lambda c: sides.select(F.col("doc_id").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n_words").alias(f"n_{c}"))
     place = F.struct("n_words", F.negative("doc_id"))
     links, settled = [], []
     for n in range(-1 if rounds is None else rounds + 1):
@@ -474,7 +475,7 @@ def near_links(documents: DataFrame, pages: DataFrame, settings: Settings) -> tu
         likely = materialised(met.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_pair_estimate(settings), "a long, b long"))
         if likely.isEmpty():
             continue
-        links.append(materialised(verified_ends(documents, likely, settings)))
+        links.append(materialised(verified_ends(read, likely, settings)))
         settled.append(links[-1].where(F.col("ends").isin("early", "inside", "same")).select("a").distinct())
     none = documents.sparkSession.createDataFrame([], "a long, b long, ends string")
     return members.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct(), reduce(DataFrame.unionByName, links, none)
