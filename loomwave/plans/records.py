@@ -32,7 +32,7 @@ def _parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    parsed = rejects.parse_lines(table(spark, d, "event_lines"), list(_events_base(spark, d)), distinct=False)
+    parsed = rejects.line_reasons(table(spark, d, "event_lines"), list(_events_base(spark, d)))
     return parsed.where("reason is not null").select("line_id").distinct()
 
 
@@ -40,16 +40,20 @@ def p2_rows(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d).select("line_id", "file_id", "onset", "response_time", "reason")
 
 
+def _sidecars(spark: SparkSession, d: str) -> DataFrame:
+    base = drift.base_schema(table(spark, d, "sidecar_schema"), "ieeg")
+    ingested = drift.ingest_json(table(spark, d, "sidecars"), base)
+    return drift.replay_rescued(ingested, {"HeadCircumference": ("HeadCircumference", "number"), "EpochLength": ("EpochLength", "number")})
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "sidecar_schema")
-    of_json = drift.json_changes(table(spark, d, "sidecars"), drift.base_schema(schema, "ieeg"))
+    of_json = drift.json_changes(_sidecars(spark, d))
     return of_json.unionByName(drift.header_changes(table(spark, d, "event_lines"), _events_base(spark, d)))
 
 
 def p3_sidecars(spark: SparkSession, d: str) -> DataFrame:
-    base = drift.base_schema(table(spark, d, "sidecar_schema"), "ieeg")
-    ingested = drift.ingest_json(table(spark, d, "sidecars"), base)
-    return drift.replay_rescued(ingested, {"HeadCircumference": ("HeadCircumference", "number"), "EpochLength": ("EpochLength", "number")}).drop("_changes")
+    return _sidecars(spark, d).drop("_changes")
 
 
 def p3_events(spark: SparkSession, d: str) -> DataFrame:
