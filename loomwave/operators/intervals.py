@@ -14,14 +14,14 @@ def whole_ms(seconds: Column) -> Column:
     return F.when(F.abs(seconds) < 1e12, F.round(seconds * 1000)).cast("long")
 
 
-def labelled_islands(df: DataFrame, entity: list[str], start: str, end: str) -> DataFrame:
-    """entity columns, start, end, prev_end and island_start of each row of df with start < end.
+def labelled_islands(df: DataFrame, entity: list[str], start: str, end: str, label: bool = True) -> DataFrame:
+    """entity columns, start, end, prev_end and (with label) island_start of each row of df with start < end.
 
     Rows with a null in entity, start or end, or with end <= start, do not count. Repeated rows, nesting and
     ties change nothing: an interval that begins where another ends continues it. start and end are bigints.
     """
     used = df.select(*entity, F.col(start).cast("long").alias("_start"), F.col(end).cast("long").alias("_end")).dropna().where("_start < _end")
-    return carried_running_max(range_sorted(used, entity, ["_start", "_end"]), entity, ["_end"], ("_start", "_end"))
+    return carried_running_max(range_sorted(used, entity, ["_start", "_end"]), entity, ["_end"], ("_start", "_end") if label else None)
 
 
 def periods(df: DataFrame, entity: list[str], start: str, end: str) -> DataFrame:
@@ -32,7 +32,7 @@ def periods(df: DataFrame, entity: list[str], start: str, end: str) -> DataFrame
 
 def gaps(df: DataFrame, entity: list[str], start: str, end: str) -> DataFrame:
     """The uncovered stretches between the first start and the last end: entity, gap_from, gap_to."""
-    islands = labelled_islands(df, entity, start, end)
+    islands = labelled_islands(df, entity, start, end, label=False)
     opens = (F.col("prev__end") > F.lit(-(2**63))) & (F.col("prev__end") < F.col("_start"))
     return islands.where(opens).select(*entity, F.col("prev__end").alias("gap_from"), F.col("_start").alias("gap_to"))
 

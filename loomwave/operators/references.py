@@ -50,7 +50,7 @@ def orphan_references(tables: dict[str, DataFrame], references: list[Reference])
         d = tables[r.table].select(reference_key(F.col(r.field)).alias("key"), F.coalesce(wall_micros(F.col(r.loaded)), F.lit(LOWEST)).alias("ts"), F.col(r.row_id).cast("long").alias("row_id")).where("key is not null")
         parts.append(d.select(F.lit(kind).alias("kind"), "key", "ts", F.lit(2).alias("typ"), F.lit(None).cast("long").alias("ends"), F.lit(None).cast("long").alias("first"), F.lit(i).alias("ref"), "row_id"))
     rows = materialised(reduce(DataFrame.unionByName, parts))  # range sampling would make every key twice
-    merged = carried_running_max(range_sorted(rows, ["kind", "key"], ["ts", "typ"]), ["kind", "key"], ["ends", "first"])
+    merged = carried_running_max(range_sorted(rows, ["kind", "key"], ["ts", "typ", "ref", "row_id"]), ["kind", "key"], ["ends", "first"])
     status = F.when(F.col("ts") == LOWEST, "undated").when(F.col("run_first") == LOWEST, "missing").when(F.col("run_ends") == LOWEST, "late").otherwise("deleted")
     names = F.array(*(F.struct(F.lit(r.table).alias("t"), F.lit(r.field).alias("f")) for r in references))
     cases = merged.where((F.col("typ") == 2) & ((F.col("run_ends") <= F.col("ts")) | (F.col("ts") == LOWEST))).groupBy("ref", "row_id").agg(F.min("ts").alias("ts"), F.min(status).alias("status"))

@@ -61,7 +61,8 @@ def p3_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _times(spark: SparkSession, d: str) -> DataFrame:
-    scans = table(spark, d, "scans").groupBy("scan_id").agg(F.min(F.struct("acq_time", "site")).alias("s")).select("scan_id", "s.*")
+    known = F.struct(F.col("acq_time").isNull(), "acq_time", F.col("site").isNull(), "site")  # a repeat without time or site gives way
+    scans = table(spark, d, "scans").groupBy("scan_id").agg(F.min(known).alias("s")).select("scan_id", "s.acq_time", "s.site")
     return timestamps.normalise_timestamps(scans, "acq_time", "site", table(spark, d, "sites"))
 
 
@@ -171,7 +172,28 @@ UNION """
     + " UNION ".join(_level_sql(level) for level in ("", "HardwareFilters", "HardwareFilters.Highpass RC filter"))
 )
 
-ORACLE["p4_found"] = r"""
+ORACLE["p2_rows"] = (
+    _LINES
+    + """
+SELECT line_id, file_id, CASE WHEN sound AND len(v) = len(cols) AND kinds[o] = 1 THEN CAST(trim(v[o]) AS DOUBLE) END AS onset, CASE WHEN sound AND len(v) = len(cols) AND kinds[r] = 1 THEN CAST(trim(v[r]) AS DOUBLE) END AS response_time,
+  CASE WHEN NOT sound THEN 'broken_quoting' WHEN len(v) <> len(cols) THEN 'wrong_field_count' WHEN kinds[o] <> 1 THEN 'bad_onset' WHEN kinds[r] = 2 THEN 'bad_response_time' END AS reason FROM c"""
+)
+
+
+def _events_sql() -> str:
+    """Sound rows under the base columns; the only unknown column of a file stands for its absent one, further ones are rescued."""
+    at = lambda b: f"CASE WHEN list_contains(cols, '{b}') THEN list_position(cols, '{b}') WHEN len(unknown) = 1 THEN list_position(cols, unknown[1]) END"
+    number = lambda b: f"CASE WHEN kinds[{at(b)}] = 1 THEN CAST(trim(v[{at(b)}]) AS DOUBLE) END AS {b}"
+    text = lambda b: f"CASE WHEN kinds[{at(b)}] > 0 THEN v[{at(b)}] END AS {b}"
+    cell = lambda name, value: f"{name} || ': ' || CAST(to_json({value}) AS VARCHAR)"
+    parts = ["CASE WHEN len(absent) = 0 THEN [" + cell("CAST(to_json(x) AS VARCHAR)", "v[list_position(cols, x)]") + " for x in unknown] ELSE [] END"]
+    parts += [f"CASE WHEN kinds[{at(b)}] = 2 THEN [" + cell(f"'\"{b}\"'", f"v[{at(b)}]") + "] ELSE [] END" for b in ("onset", "duration", "response_time")]
+    return f"""SELECT line_id, file_id, {number("onset")}, {number("duration")}, {text("trial_type")}, {number("response_time")}, {text("stim_file")}, '{{' || nullif(array_to_string({" || ".join(f"({p})" for p in parts)}, ', '), '') || '}}' AS _rescued FROM c JOIN (SELECT DISTINCT file_id FROM u) USING (file_id) WHERE NOT bad"""
+
+
+ORACLE["p3_events"] = _LINES + _events_sql()
+
+_P4 = r"""
 WITH s AS (SELECT DISTINCT scan_id, trim(acq_time) AS t, site FROM scans),
 x AS (SELECT *, CASE WHEN regexp_matches(t, '(AM|PM)$') THEN '' ELSE regexp_extract(t, '(Z|[+-][0-9]{2}:?[0-9]{2}|[A-Z]{2,5})$', 1) END AS z FROM s LEFT JOIN sites USING (site)),
 y AS (SELECT *, regexp_replace(trim(t[1:len(t) - len(z)]), '^[A-Za-z]{3}, ', '') AS b FROM x),
@@ -185,5 +207,9 @@ c AS (SELECT *, l - (epoch_us(timezone(tz_name, make_timestamptz(l - 86400000000
 f AS (SELECT *, epoch_us(timezone(tz_name, make_timestamptz(u1))) = l AS f1, epoch_us(timezone(tz_name, make_timestamptz(u2))) = l AS f2 FROM c)
 SELECT scan_id, CASE WHEN regexp_matches(t, '^([0-9]{10}|[0-9]{13})$') THEN strftime(make_timestamp(CAST(t AS BIGINT) * CASE WHEN len(t) = 10 THEN 1000000 ELSE 1000 END), '%Y-%m-%dT%H:%M:%S.%fZ')
   WHEN local IS NULL OR year(local) < 1925 THEN 'none' WHEN z <> '' THEN coalesce(strftime(make_timestamp(l - CAST(off AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S.%fZ'), 'none') WHEN tz_name IS NULL THEN 'none'
-  WHEN f1 AND f2 AND u1 <> u2 THEN 'ambiguous' WHEN NOT f1 AND NOT f2 THEN 'nonexistent' ELSE strftime(make_timestamp(CASE WHEN f1 THEN u1 ELSE u2 END), '%Y-%m-%dT%H:%M:%S.%fZ') END AS acq_utc FROM f
+  WHEN f1 AND f2 AND u1 <> u2 THEN 'ambiguous' WHEN NOT f1 AND NOT f2 THEN 'nonexistent' ELSE strftime(make_timestamp(CASE WHEN f1 THEN u1 ELSE u2 END), '%Y-%m-%dT%H:%M:%S.%fZ') END AS acq_utc{more} FROM f
 """
+ORACLE["p4_found"] = _P4.replace("{more}", "")
+_SHAPE = """, site, CASE WHEN t IS NULL THEN 'unread' WHEN regexp_matches(t, '^([0-9]{10}|[0-9]{13})$') THEN 'epoch' WHEN regexp_matches(b, '^[0-9]{8}T?[0-9]{6}') THEN 'compact' WHEN regexp_matches(b, '^[0-9]{4}[-/.].*:') THEN 'year_first'
+  WHEN regexp_matches(b, '^[0-9]{1,2}[-/.].*:') THEN 'digits' WHEN regexp_matches(b, '^[A-Z][a-z]{2,8}[.]? [0-9].*:') THEN 'month_first' WHEN regexp_matches(b, '^[0-9]{1,2} [A-Z].*:') THEN 'mail' ELSE 'unread' END AS format"""
+ORACLE["p4_formats"] = "SELECT site, format, CASE WHEN acq_utc IN ('none', 'ambiguous', 'nonexistent') THEN acq_utc ELSE 'instant' END AS outcome, count(*) AS n FROM (" + _P4.replace("{more}", _SHAPE) + ") GROUP BY ALL"
