@@ -242,6 +242,39 @@ def cross_validate(packed: DataFrame, trial: str, label: str, values: str, model
     return rows.groupBy("repeat", "fold", "window", "y_true", "y_pred").agg(F.count("*").alias("n"))
 
 
+def decode_by_moments(packed: DataFrame, trial: str, label: str, values: str, kind: str, folds: int, repeats: int, order: list) -> DataFrame:
+    """repeat, fold, y_true, y_pred, n of cross-validated templates (cosine with the class means) or normal Bayes (kind: template, bayes).
+
+    order deals the folds within each label and may use `repeat`. A fold's model comes from the moments of its
+    complement: those of all trials of a class without the fold's, so each trial is read once a repeat, what is
+    shuffled is one row per fold, class and feature, and no task holds the trials of a fold. Missing samples are skipped.
+    """
+    x = packed.select(trial, F.col(label).alias("y_true"), F.col(values).alias("x"))
+    spread = x.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_l", F.struct("repeat", "y_true"))
+    dealt = sampling.kfold(spread, "_l", order, folds).drop("_l")
+    moments = lambda df, *keys: df.groupBy(*keys, "y_true", "t").agg(F.count("v").alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("v")).alias("q"))
+    whole = moments(x.select("y_true", F.posexplode("x").alias("t", "v")), *[]).where("n > 0")
+    part = moments(dealt.select("repeat", "fold", "y_true", F.posexplode("x").alias("t", "v")), "repeat", "fold").toDF("repeat", "fold", "y_true", "t", "n_f", "m_f", "q_f")
+    grid = whole.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long"))))
+    both = grid.join(part, ["repeat", "fold", "y_true", "t"], "left").fillna(0, ["n_f", "m_f", "q_f"])
+    n, n_f = F.col("n"), F.col("n_f")
+    left = both.withColumn("k", n - n_f).where("k > 0").withColumn("mean", (F.col("m") * n - F.col("m_f") * n_f) / F.col("k"))
+    var = F.greatest(F.col("q") - F.col("q_f") - (F.col("m_f") - F.col("mean")) ** 2 * n_f * F.col("k") / n, F.lit(0.0)) / F.col("k")
+    cells = F.array_sort(F.collect_list(F.struct("t", "mean", var.alias("var"))))
+    model = left.groupBy("repeat", "fold", F.col("y_true").alias("y_pred")).agg(cells.alias("model"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + F.coalesce(b, F.lit(0.0)))
+    if kind == "template":
+        norm = F.sqrt(total(F.transform("model", lambda c: c["mean"] ** 2)))
+        score = total(F.transform("model", lambda c: c["mean"] * F.get("x", c["t"]))) / F.nullif(norm, F.lit(0.0))
+    else:
+        floor = x.select(F.explode("x").alias("v")).agg((F.var_pop("v") * 1e-9 + 1e-21).alias("floor"))
+        model = model.join(F.broadcast(floor)).withColumn("model", F.transform("model", lambda c: F.struct(c["t"].alias("t"), c["mean"].alias("mean"), (c["var"] + F.col("floor")).alias("var")))).drop("floor")
+        score = -total(F.transform("model", lambda c: (F.get("x", c["t"]) - c["mean"]) ** 2 / c["var"] + F.log(c["var"])))
+    scored = dealt.join(model, ["repeat", "fold"]).select("repeat", "fold", trial, "y_true", "y_pred", F.coalesce(score, F.lit(float("-inf"))).alias("score"))
+    best = scored.groupBy("repeat", "fold", trial, "y_true").agg(F.max_by("y_pred", "score").alias("y_pred"))
+    return best.groupBy("repeat", "fold", "y_true", "y_pred").agg(F.count("*").alias("n"))
+
+
 def generalise_in_time(packed: DataFrame, trial: str, label: str, values: str, model: Callable[[], object], folds: int, seed: int, window: int, step: int) -> DataFrame:
     """train_window, test_window, accuracy, balanced: a model of one window tried on every other."""
     dealt = sampling.kfold(packed, label, [sampling.hash_order(trial, seed=seed), F.col(trial)], folds, "_own")

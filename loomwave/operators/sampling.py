@@ -19,9 +19,9 @@ def kfold(df: DataFrame, label: str, order: list[Column], folds: int, out: str =
     return df.withColumn(out, ((F.row_number().over(w) - 1) % folds).cast("long"))
 
 
-def repeated_kfold(df: DataFrame, key: str, label: str, folds: int, repeats: int, seed: int, complete: Column, least: int) -> DataFrame:
-    """repeat, fold per row; a repeat counts only if each label has `least` complete rows in each fold's training part."""
-    dealt = kfold(df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_l", F.struct("repeat", label)), "_l", [hash_order(key, "repeat", seed=seed), F.col(key)], folds).drop("_l")
+def repeated_kfold(df: DataFrame, key: str, label: str, folds: int, repeats: int, seed: int, complete: Column, least: int, order: list[Column] | None = None) -> DataFrame:
+    """repeat, fold per row, dealt by `order` (given key and `repeat`; else by a hash); a repeat counts only if each label has `least` complete rows in each fold's training part."""
+    dealt = kfold(df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_l", F.struct("repeat", label)), "_l", order or [hash_order(key, "repeat", seed=seed), F.col(key)], folds).drop("_l")
     full = dealt.groupBy("repeat", label, "fold").agg(F.sum(complete.cast("long")).alias("n"))
     w = Window.partitionBy("repeat", label)
     poor = full.withColumn("train", F.sum("n").over(w) - F.col("n")).where(F.col("train") < least).select("repeat").distinct()
@@ -66,14 +66,10 @@ def fill_normal(df: DataFrame, keys: list[str], value: str, seed: int) -> DataFr
     return df.join(stats, keys).withColumn(value, F.coalesce(F.col(value), F.col("_m") + F.col("_s") * F.randn(seed))).drop("_m", "_s")
 
 
-def shuffle_labels(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
-    """Labels dealt out anew: both sides ranked within hash buckets of equal rule, so no global sort is needed.
+def shuffle_labels(df: DataFrame, key: str, label: str, first: list[Column], second: list[Column]) -> DataFrame:
+    """Labels dealt out anew: rows ranked by one order take the labels ranked by another, a permutation of all of them.
 
-    Within a bucket the multiset of labels is kept.
+    Ranks come from range-sorted partitions, so no task sorts all rows. The orders should end with the key.
     """
-    bucket = F.pmod(hash_order(key, seed=seed), F.lit(64))
-    b = df.withColumn("_b", bucket)
-    w = Window.partitionBy("_b")
-    keys = b.select("*", F.row_number().over(w.orderBy(hash_order(key, seed=seed + 1), key)).alias("_r")).drop(label)
-    labels = b.select("_b", F.col(label), F.row_number().over(w.orderBy(hash_order(key, seed=seed + 2), key)).alias("_r"))
-    return keys.join(labels, ["_b", "_r"]).drop("_b", "_r")
+    ranked = lambda column, order: global_rank(df.select(column, *(o.alias(f"_o{i}") for i, o in enumerate(order))), [f"_o{i}" for i in range(len(order))], "_r").select(column, "_r")
+    return ranked(key, first).join(ranked(label, second), "_r").select(key, label)

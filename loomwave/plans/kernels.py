@@ -113,7 +113,8 @@ def channel_grid(spark, d):
     return reshape.to_grid(m, grid, "ch", "v", [0, 5]).select("row", F.round("0", 6).alias("c0"), F.round("5", 6).alias("c5"))
 
 
-@query()
+@query("""WITH p AS (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey), i AS (SELECT *, unnest(range(1, len(n_name) + 1)) AS a FROM p), c AS (SELECT *, unnest(range(1, len(n_name) - a + 2)) AS l FROM i),
+m AS (SELECT n_name, r_name, n_name[a:a + l - 1] AS s, row_number() OVER (PARTITION BY n_name ORDER BY l DESC, a) AS r FROM c WHERE contains(r_name, n_name[a:a + l - 1])) SELECT n_name, r_name, coalesce(s, '') AS common FROM p LEFT JOIN m USING (n_name, r_name) WHERE coalesce(r, 1) = 1""")
 def common_substrings(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return n.select("n_name", "r_name", labels.common_substring("n_name", "r_name").alias("common"))
@@ -144,8 +145,16 @@ def session_windows(spark, d):
 # ---- spectral kernels --------------------------------------------------------------------------------
 
 
+def _kernel(spark: SparkSession, d: str, kernel: Callable[[np.ndarray], np.ndarray], nested: bool = False) -> DataFrame:
+    """trial, (row,) t, v: a kernel's result for every packed row, as long rows."""
+    out = spectral.per_row(packed(spark, d), "values", "out", kernel, nested).select("trial", F.posexplode("out").alias("row" if nested else "t", "v"))
+    if nested:
+        out = out.select("trial", F.col("row").cast("long").alias("row"), F.posexplode("v").alias("t", "v"))
+    return out.withColumns({"t": F.col("t").cast("long"), "v": r6("v")})
+
+
 def _spectral(kernel: Callable[[np.ndarray], np.ndarray], nested: bool = False) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: spectral.per_row(packed(spark, d), "values", "out", kernel, nested).drop("values")
+    return lambda spark, d: _kernel(spark, d, kernel, nested)
 
 
 QUERIES |= {
@@ -162,9 +171,48 @@ QUERIES |= {
     "mode_powers": _spectral(lambda x: spectral.mode_powers(x, 3)),
     "trigger_lag": _spectral(lambda x: spectral.cross_correlation_lag(x, np.hanning(16))),
 }
+#: The discrete Fourier transform of every trial (64 samples at 64 Hz, so that k counts Hz).
+_DFT = f"{_EL}, ft AS (SELECT trial, k, sum(v * cos(2 * pi() * k * t / 64)) AS re, -sum(v * sin(2 * pi() * k * t / 64)) AS im FROM el, (SELECT unnest(range(64)) AS k) GROUP BY ALL)"
+#: Back to samples with the gains `g` of each row and frequency.
+_BACK = "y AS (SELECT trial, row, t, sqrt(sum(g * (re * cos(2 * pi() * k * t / 64) - im * sin(2 * pi() * k * t / 64))) ** 2 + sum(g * (re * sin(2 * pi() * k * t / 64) + im * cos(2 * pi() * k * t / 64))) ** 2) / 64 AS a FROM ft JOIN gain USING (k), (SELECT unnest(range(64)) AS t) GROUP BY ALL)"
+_BANK = f"""WITH RECURSIVE c AS (SELECT 0.018::DOUBLE AS f UNION ALL SELECT CASE WHEN f < 4 THEN f + 0.39 * sqrt(f) ELSE f * 2 ** (1 / 7.0::DOUBLE) END FROM c WHERE f < 16), b AS (SELECT f, row_number() OVER (ORDER BY f) - 1 AS row FROM c WHERE f BETWEEN 4 AND 16),
+gain AS (SELECT row, k, exp(-0.5 * ((k - f) / (0.39 * sqrt(f) * sqrt(2))) ** 2) * CASE WHEN k = 32 THEN 1 ELSE 2 END AS g FROM b, (SELECT unnest(range(1, 33)) AS k)), {_DFT}, {_BACK}"""
+_SCALES = f"""WITH s AS (SELECT 2 ** (0.2 * j) / 33.0::DOUBLE AS s FROM (SELECT unnest(range(0, 26)) AS j)), w AS (SELECT s, row_number() OVER (ORDER BY s DESC) - 1 AS row FROM s WHERE 1 / (4 * pi() / (6 + sqrt(38)) * s) >= 4),
+gain AS (SELECT row, k, sqrt(s * 2 * pi() * 64 / 64) * pi() ** -0.25 * 8 * sqrt(2) * exp(-((s * 2 * pi() * k - 6) ** 2) / 2) AS g FROM w, (SELECT unnest(range(1, 32)) AS k)), {_DFT}, {_BACK}"""
+ORACLE |= {
+    "hilbert_spectrogram": f"{_BANK} SELECT trial, row, t, round(a, 6) + 0.0 AS v FROM y",
+    "band_envelope": f"{_BANK} SELECT trial, t, round(sum(a), 6) + 0.0 AS v FROM y GROUP BY ALL",
+    "wavelet_scaleogram": f"{_SCALES} SELECT trial, row, t // 2 AS t, round(a, 6) + 0.0 AS v FROM y WHERE t % 2 = 0",
+    "band_power": f"WITH {_DFT} SELECT trial, 0::BIGINT AS t, round(log10(avg((re * re + im * im) / 64)), 6) + 0.0 AS v FROM ft WHERE k BETWEEN 8 AND 16 GROUP BY trial",
+    "welch_density": f"""WITH {_EL}, w AS (SELECT unnest([0, 16, 32]) AS s), p AS (SELECT trial, s, t - s AS i, (v - avg(v) OVER (PARTITION BY trial, s)) * (0.5 - 0.5 * cos(2 * pi() * (t - s) / 32)) AS x FROM el JOIN w ON t BETWEEN s AND s + 31),
+f AS (SELECT trial, s, k, (sum(x * cos(2 * pi() * k * i / 32)) ** 2 + sum(x * sin(2 * pi() * k * i / 32)) ** 2) / (64 * 12) * CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END AS p FROM p, (SELECT unnest(range(17)) AS k) GROUP BY trial, s, k)
+SELECT trial, k AS t, round(avg(p), 6) + 0.0 AS v FROM f GROUP BY ALL""",
+    "travelling_power": f"""WITH {_DFT}, gain AS (SELECT 0 AS row, k, 2.0::DOUBLE AS g FROM (SELECT unnest(range(8, 17)) AS k)), {_BACK},
+q AS (SELECT trial, k, sum(a * a * cos(2 * pi() * k * t / 64)) AS re, -sum(a * a * sin(2 * pi() * k * t / 64)) AS im FROM y, (SELECT unnest(range(64)) AS k) GROUP BY ALL),
+z AS (SELECT trial, t, log10(greatest(sum(exp(-2 * (pi() * least(k, 64 - k) * 0.02) ** 2) * (re * cos(2 * pi() * k * t / 64) - im * sin(2 * pi() * k * t / 64))) / 64, 1e-300)) AS l FROM q, (SELECT unnest(range(64)) AS t) GROUP BY ALL)
+SELECT trial, t, round((l - avg(l) FILTER (t < 16) OVER (PARTITION BY trial)) / greatest(stddev_samp(l) FILTER (t < 16) OVER (PARTITION BY trial), 1e-12), 6) + 0.0 AS v FROM z""",
+    "trigger_lag": f"""WITH {_EL}, c AS (SELECT trial, lag, sum(v * (0.5 - 0.5 * cos(2 * pi() * (t - lag) / 15))) AS c FROM el, (SELECT unnest(range(-15, 64)) AS lag) WHERE t - lag BETWEEN 0 AND 15 GROUP BY ALL)
+SELECT trial, 0::BIGINT AS t, max_by(lag, c)::DOUBLE AS v FROM c GROUP BY trial""",
+    "superlets": f"""WITH {_EL}, f AS (SELECT i AS row, 6.0::DOUBLE + 3 * i AS f, 1 + 0.5::DOUBLE * i AS o FROM (SELECT unnest(range(6)) AS i)),
+w AS (SELECT row, f, o, k, CAST(floor(round_even(2.0 * k / 2 / f / 2.5 * 64 * 6, 0) / 2) AS BIGINT) AS h, CASE WHEN k <= floor(o) THEN 1 ELSE o - floor(o) END AS share FROM f, (SELECT unnest(range(1, 5)) AS k) WHERE k <= ceil(o)),
+m AS (SELECT row, o, k, share, j, exp(-((j * 3.0 / greatest(h, 1)) ** 2) / 2) / sum(exp(-((j * 3.0 / greatest(h, 1)) ** 2) / 2)) OVER (PARTITION BY row, k) AS g, 2 * pi() * f * j / 64 AS ph FROM (SELECT *, unnest(range(-h, h + 1)) AS j FROM w)),
+p AS (SELECT trial, row, o, k, share, t + j AS t, 2 * (sum(v * g * cos(ph)) ** 2 + sum(v * g * sin(ph)) ** 2) AS p FROM el, m WHERE t + j BETWEEN 0 AND 63 GROUP BY ALL)
+SELECT trial, row, t, round(exp(sum(share * ln(greatest(p, 1e-300))) / o), 6) + 0.0 AS v FROM p GROUP BY trial, row, o, t""",
+    "notch": f"""WITH RECURSIVE {_EL}, n AS (SELECT sin(pi() / 2) / 60 AS al, cos(pi() / 2) AS co), k AS (SELECT 1 / (1 + al) AS b0, -2 * co / (1 + al) AS b1, 1 / (1 + al) AS b2, -2 * co / (1 + al) AS a1, (1 - al) / (1 + al) AS a2 FROM n),
+x AS (SELECT trial, t + 30 AS i, v FROM el UNION ALL SELECT e.trial, 30 - e.t, 2 * z.v - e.v FROM el e JOIN el z ON z.trial = e.trial AND z.t = 0 WHERE e.t BETWEEN 1 AND 30 UNION ALL SELECT e.trial, 156 - e.t, 2 * z.v - e.v FROM el e JOIN el z ON z.trial = e.trial AND z.t = 63 WHERE e.t BETWEEN 33 AND 62),
+g AS (SELECT *, (b0 + b1 + b2) / (1 + a1 + a2) AS gain FROM k),
+f AS (SELECT trial, 0::BIGINT AS i, b0 * v + v * (gain - b0) AS y, b1 * v - a1 * (b0 * v + v * (gain - b0)) + v * (b2 - a2 * gain) AS z1, b2 * v - a2 * (b0 * v + v * (gain - b0)) AS z2 FROM x, g WHERE i = 0
+  UNION ALL SELECT f.trial, f.i + 1, b0 * v + z1, b1 * v - a1 * (b0 * v + z1) + z2, b2 * v - a2 * (b0 * v + z1) FROM f JOIN x ON x.trial = f.trial AND x.i = f.i + 1, g),
+r AS (SELECT trial, 123 - i AS i, y AS v FROM f),
+s AS (SELECT trial, 0::BIGINT AS i, b0 * v + v * (gain - b0) AS y, b1 * v - a1 * (b0 * v + v * (gain - b0)) + v * (b2 - a2 * gain) AS z1, b2 * v - a2 * (b0 * v + v * (gain - b0)) AS z2 FROM r, g WHERE i = 0
+  UNION ALL SELECT s.trial, s.i + 1, b0 * v + z1, b1 * v - a1 * (b0 * v + z1) + z2, b2 * v - a2 * (b0 * v + z1) FROM s JOIN r ON r.trial = s.trial AND r.i = s.i + 1, g)
+SELECT trial, 93 - i AS t, round(y, 6) + 0.0 AS v FROM s WHERE i BETWEEN 30 AND 93""",
+}
 
 
-@query()
+@query(f"""{_SCALES}, pk AS (SELECT trial, label, max(abs(v)) AS peak FROM el GROUP BY ALL), st AS (SELECT label, avg(v) AS c, stddev_pop(v) AS d FROM el GROUP BY label),
+ok AS (SELECT trial, label FROM pk JOIN st USING (label) WHERE peak < d * 6 + c), r AS (SELECT label, row AS scale, t - 4 AS t, a FROM y JOIN ok USING (trial) WHERE t BETWEEN 4 AND 59),
+b AS (SELECT label, scale, avg(a) AS m FROM r WHERE t < 12 GROUP BY ALL) SELECT label, scale, t, round(20 * log10(avg(a / m)), 6) + 0.0 AS db FROM r JOIN b USING (label, scale) WHERE t >= 12 GROUP BY ALL""")
 def wavelet_baseline_ratio(spark, d):
     """The pipeline: outliers to null, wavelets, crop, ratio to the baseline, decibels per class."""
     keep = statistics.keep_inliers(long(spark, d), ["label"], "trial", "v", 6.0)
@@ -172,7 +220,8 @@ def wavelet_baseline_ratio(spark, d):
     tf = spectral.per_row(clean, "values", "tf", lambda x: spectral.scaleogram(x, 64.0, 4, 30), nested=True).drop("values")
     rows = tf.select("trial", "label", F.posexplode("tf").alias("scale", "power")).select("trial", "label", "scale", F.posexplode(reshape.crop_pad("power", 4)).alias("t", "v"))
     ratio = statistics.rescale(rows.where("t >= 12"), rows.where("t < 12"), ["label", "scale"], "v", ["ratio"])
-    return ratio.groupBy("label", "scale", "t").agg((20 * F.log10(F.avg("ratio"))).alias("db"))
+    db = ratio.groupBy("label", "scale", "t").agg(r6(20 * F.log10(F.avg("ratio"))).alias("db"))
+    return db.withColumns({"scale": F.col("scale").cast("long"), "t": F.col("t").cast("long")})
 
 
 # ---- decoders and alignment --------------------------------------------------------------------------
@@ -204,13 +253,29 @@ def _decode(model: Callable[[], object], **options) -> Callable[[SparkSession, s
 QUERIES |= {
     "decode_pca_discriminant": _decode(decoding.PcaDiscriminant),
     "decode_quadratic": _decode(lambda: decoding.PcaDiscriminant(0.5, True)),
-    "decode_bayes": _decode(decoding.GaussianBayes),
     "decode_kernel": _decode(decoding.KernelRidge),
-    "decode_template_folds": _decode(decoding.Template),
     "decode_windows": _decode(decoding.PcaDiscriminant, window=16, step=8),
 }
 
 
+#: Folds, and the moments of each class without each fold, of every sample.
+_FOLDS = f"""{_EL}, tr AS (SELECT DISTINCT trial, label FROM el), fo AS (SELECT *, (row_number() OVER (PARTITION BY repeat, label ORDER BY ((trial + 1) * (7919 + 104729 * (repeat + 1))) % 1000003, trial) - 1) % 5 AS fold FROM (SELECT *, unnest(range(2)) AS repeat FROM tr)),
+mo AS (SELECT r.repeat, f.fold, r.label AS y_pred, t, avg(v) AS m, var_pop(v) AS s FROM el JOIN fo r USING (trial), (SELECT unnest(range(5)) AS fold) f WHERE r.fold <> f.fold GROUP BY ALL)"""
+_BEST = "SELECT repeat::INT AS repeat, fold, y_true, y_pred, count(*) AS n FROM (SELECT repeat, fold, trial, y_true, max_by(y_pred, g) AS y_pred FROM sc GROUP BY ALL) GROUP BY ALL"
+
+
+def _moments(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    order = [((F.col("trial") + 1) * (7919 + 104729 * (F.col("repeat") + 1))) % 1000003, F.col("trial")]
+    return lambda spark, d: decoding.decode_by_moments(packed(spark, d), "trial", "label", "values", kind, 5, 2, order)
+
+
+QUERIES |= {"decode_bayes": _moments("bayes"), "decode_template_folds": _moments("template")}
+ORACLE |= {
+    "decode_bayes": f"WITH {_FOLDS}, sc AS (SELECT fo.repeat, fo.fold, fo.trial, fo.label AS y_true, y_pred, -sum((v - m) ** 2 / s + ln(s)) AS g FROM fo JOIN el USING (trial) JOIN mo ON mo.repeat = fo.repeat AND mo.fold = fo.fold AND mo.t = el.t GROUP BY ALL) {_BEST}",
+    "decode_template_folds": f"WITH {_FOLDS}, sc AS (SELECT fo.repeat, fo.fold, fo.trial, fo.label AS y_true, y_pred, sum(v * m) / sqrt(sum(m * m)) AS g FROM fo JOIN el USING (trial) JOIN mo ON mo.repeat = fo.repeat AND mo.fold = fo.fold AND mo.t = el.t GROUP BY fo.repeat, fo.fold, fo.trial, fo.label, y_pred) {_BEST}",
+}
+
+
 @query()
 def generalise_in_time(spark, d):
     return decoding.generalise_in_time(packed(spark, d), "trial", "label", "values", decoding.PcaDiscriminant, 4, 7, 16, 16)
@@ -290,15 +355,20 @@ def fill_normal(spark, d):
     return sampling.fill_normal(el, ["label"], "v", 7).select("trial", "t", "v")
 
 
-@query()
+@query("""WITH k AS (SELECT vec_id, row_number() OVER (ORDER BY (vec_id * 7919) % 1000003, vec_id) AS r FROM embeddings), l AS (SELECT label, row_number() OVER (ORDER BY (vec_id * 104729) % 1000003, vec_id) AS r FROM embeddings)
+SELECT vec_id, label FROM k JOIN l USING (r)""")
 def shuffled_labels(spark, d):
-    return sampling.shuffle_labels(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", "label", 7)
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    return sampling.shuffle_labels(e, "vec_id", "label", [(F.col("vec_id") * 7919) % 1000003, F.col("vec_id")], [(F.col("vec_id") * 104729) % 1000003, F.col("vec_id")])
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id AS trial, label, embedding[1] > 0 AS whole, unnest(range(3)) AS repeat FROM embeddings), f AS (SELECT *, (row_number() OVER (PARTITION BY repeat, label ORDER BY ((trial + 1) * (7919 + 104729 * (repeat + 1))) % 1000003, trial) - 1) % 5 AS fold FROM e),
+n AS (SELECT repeat, label, fold, count(*) FILTER (whole) AS n FROM f GROUP BY ALL), poor AS (SELECT repeat FROM (SELECT *, sum(n) OVER (PARTITION BY repeat, label) - n AS train FROM n) WHERE train < 1)
+SELECT trial, repeat::INT AS repeat, fold FROM f WHERE repeat NOT IN (SELECT repeat FROM poor)""")
 def repeated_folds(spark, d):
     e = packed(spark, d).select("trial", "label", F.col("values")[0].alias("v"))
-    return sampling.repeated_kfold(e, "trial", "label", 5, 3, 7, F.col("v") > 0, 1).select("trial", "repeat", "fold")
+    order = [((F.col("trial") + 1) * (7919 + 104729 * (F.col("repeat") + 1))) % 1000003, F.col("trial")]
+    return sampling.repeated_kfold(e, "trial", "label", 5, 3, 7, F.col("v") > 0, 1, order).select("trial", "repeat", "fold")
 
 
 @query("SELECT o_custkey, count(*) AS n, sum(CASE WHEN rnk = 1 THEN o_totalprice END) AS best FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rnk FROM orders) GROUP BY o_custkey")

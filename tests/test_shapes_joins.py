@@ -67,7 +67,7 @@ def test_sampling(spark):
     folds = sampling.kfold(e, "l", [sampling.hash_order("k"), F.col("k")], 5)
     assert all(r["count"] == 4 for r in folds.groupBy("l", "fold").count().collect())
     assert sampling.pick_without_replacement(e, ["l"], [F.col("k")], 2).count() == 6 and sampling.pick_without_replacement(e, ["l"], [F.col("k")], -1).count() == 60
-    assert sorted(r["l"] for r in sampling.shuffle_labels(e, "k", "l", 1).collect()) == sorted(r["l"] for r in e.collect())
+    assert sorted(r["l"] for r in sampling.shuffle_labels(e, "k", "l", [sampling.hash_order("k", seed=1), F.col("k")], [sampling.hash_order("k", seed=2), F.col("k")]).collect()) == sorted(r["l"] for r in e.collect())
     long = spark.createDataFrame([(k, k % 2, t, None if k == 5 and t == 1 else float(k)) for k in range(8) for t in range(3)], "k int, l int, t int, v double")
     mixed = {(r["k"], r["t"]): r["v"] for r in sampling.mixup(long, "k", "l", "t", "v", [F.col("k")], [F.col("k")], F.lit(0.25)).collect()}
     assert len(mixed) == 24 and mixed[5, 1] is not None and mixed[4, 0] == 4.0 and 0 <= mixed[5, 0] <= 7
