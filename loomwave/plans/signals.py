@@ -544,33 +544,103 @@ def mixup(spark, d):
     return out.select("trial", "t", r6("v").alias("v"))
 
 
+N_PERM = 4000
 _PERM = f"""{_EL}, tr AS (SELECT DISTINCT trial, label < 5 AS f FROM el), n AS (SELECT count(*) FILTER (f) AS n FROM tr),
-sh AS (SELECT perm, trial, row_number() OVER (PARTITION BY perm ORDER BY ((trial + 1) * (7919 + 104729 * (perm + 1))) % 1000003, trial) <= (SELECT n FROM n) AS f FROM tr, (SELECT unnest(range(40)) AS perm) p),
-a AS (SELECT perm, trial, f FROM sh UNION ALL SELECT -1, trial, f FROM tr),
-df AS (SELECT perm, t, round(avg(v) FILTER (f) - avg(v) FILTER (NOT f), 9) AS diff FROM el JOIN a USING (trial) GROUP BY ALL)"""
-
-
-def _diffs(spark: SparkSession, d: str) -> DataFrame:
-    el = long(spark, d)
+sh AS (SELECT perm, trial, row_number() OVER (PARTITION BY perm ORDER BY ((trial + 1) * (7919 + 104729 * (perm + 1))) % 1000003, trial) <= (SELECT n FROM n) AS f FROM tr, (SELECT unnest(range({N_PERM})) AS perm) p),
+a AS (SELECT perm, trial, f FROM sh UNION ALL SELECT -1, trial, f FROM tr)"""
+_STATS = {
+    "mean_diff": "avg(v) FILTER (f) - avg(v) FILTER (NOT f)",
+    "welch_t": "(avg(v) FILTER (f) - avg(v) FILTER (NOT f)) / sqrt(var_samp(v) FILTER (f) / count(*) FILTER (f) + var_samp(v) FILTER (NOT f) / count(*) FILTER (NOT f))",
+    "student_t": "(avg(v) FILTER (f) - avg(v) FILTER (NOT f)) / sqrt((var_samp(v) FILTER (f) * (count(*) FILTER (f) - 1) + var_samp(v) FILTER (NOT f) * (count(*) FILTER (NOT f) - 1)) / (count(*) - 2) * (1.0 / count(*) FILTER (f) + 1.0 / count(*) FILTER (NOT f)))",
+}
+
+
+def _perm_sql(stat: str, far: str) -> str:
+    return f"""WITH {_PERM}, df AS (SELECT perm, t, round({_STATS[stat]}, 9) AS d FROM el JOIN a USING (trial) GROUP BY ALL)
+SELECT d.t, round(o.d, 6) + 0.0 AS observed, round((1 + sum(CASE WHEN {far} THEN 1 ELSE 0 END)) / (1.0 + count(*)), 6)::DOUBLE AS p FROM df d JOIN df o ON o.perm = -1 AND o.t = d.t WHERE d.perm >= 0 GROUP BY d.t, o.d"""
+
+
+def _cluster_sql(stat: str, far: str, key: str, axes: dict[str, str], near: str, names: str) -> str:
+    """Active cells by rank, clusters by reaching from cell to cell, and each observed one against the largest of every permutation."""
+    cells = ", ".join(f"{e} AS {a}" for a, e in axes.items())
+    ends = ", ".join(f"min(y.{a}) AS {a}_from, max(y.{a}) AS {a}_to" for a in axes)
+    return f"""WITH RECURSIVE {_PERM}, df AS (SELECT perm, t, round({_STATS[stat]}, 9) AS d FROM el JOIN a USING (trial) GROUP BY ALL),
+r AS (SELECT perm, t, (row_number() OVER (PARTITION BY t ORDER BY {far}, perm) - 1)::DOUBLE / (count(*) OVER (PARTITION BY t) - 1) AS rk FROM df), o AS (SELECT perm, t, {key} AS ch, {cells} FROM r WHERE rk > 1 - 0.2),
+near AS (SELECT x.perm, x.t AS s, y.t AS e FROM o x JOIN o y ON x.perm = y.perm AND x.ch = y.ch AND {near}),
+reach AS (SELECT perm, t AS s, t AS e FROM o UNION SELECT reach.perm, reach.s, near.e FROM reach JOIN near ON near.perm = reach.perm AND near.s = reach.e),
+c AS (SELECT y.perm, y.ch, lead, {ends}, count(*) AS size FROM (SELECT perm, e AS t, min(s) AS lead FROM reach GROUP BY ALL) g JOIN o y USING (perm, t) GROUP BY y.perm, y.ch, lead),
+m AS (SELECT p.perm, k.ch, coalesce(max(size), 0) AS largest FROM (SELECT unnest(range({N_PERM})) AS perm) p CROSS JOIN (SELECT DISTINCT ch FROM o) k LEFT JOIN c ON c.perm = p.perm AND c.ch = k.ch GROUP BY ALL)
+SELECT {names}, round((SELECT count(*) FROM m WHERE m.ch = c.ch AND largest >= c.size) / {N_PERM}.0, 6)::DOUBLE AS p FROM c WHERE perm = -1"""
+
+
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
     trials = table(spark, d, "embeddings").select(F.col("vec_id").alias("trial"), "label")
     order = ((F.col("trial") + 1) * (7919 + 104729 * (F.col("perm") + 1))) % 1000003
-    assigned = permutation.assignments(trials, "trial", F.col("label") < 5, 40, order)
-    return permutation.null_differences(el, assigned, "trial", ["t"], "v")
+    return permutation.assignments(trials, "trial", F.col("label") < 5, N_PERM, order)
+
+
+def _null(spark: SparkSession, d: str, stat: str) -> DataFrame:
+    return permutation.null_statistics(packed(spark, d), _assigned(spark, d), "trial", [], "values", N_PERM, stat).withColumnRenamed("index", "t")
+
+
+def _p(stats: DataFrame, tails: int) -> DataFrame:
+    return permutation.permutation_p(stats, ["t"], tails).select("t", r6("observed").alias("observed"), F.round(F.col("p").cast("double"), 6).alias("p"))
 
 
-@query(f"WITH {_PERM} SELECT d.t, round(o.diff, 6) + 0.0 AS observed, round((1 + sum(CASE WHEN d.diff >= o.diff THEN 1 ELSE 0 END)) / (1.0 + count(*)), 6)::DOUBLE AS p FROM df d JOIN df o ON o.perm = -1 AND o.t = d.t WHERE d.perm >= 0 GROUP BY d.t, o.diff")
+@query(_perm_sql("mean_diff", "d.d >= o.d"))
 def permutation_test(spark, d):
-    out = permutation.permutation_p(_diffs(spark, d), ["t"])
-    return out.select("t", r6("observed").alias("observed"), F.round(F.col("p").cast("double"), 6).alias("p"))
+    return _p(_null(spark, d, "mean_diff"), 1)
+
+
+@query(_perm_sql("welch_t", "abs(d.d) >= abs(o.d)"))
+def permutation_test_welch(spark, d):
+    return _p(_null(spark, d, "welch_t"), 2)
+
+
+@query(_perm_sql("student_t", "d.d <= o.d"))
+def permutation_test_lower(spark, d):
+    return _p(_null(spark, d, "student_t"), -1)
+
+
+def _clusters(stats: DataFrame, axes: list[str], tails: int = 1, **options) -> DataFrame:
+    return permutation.cluster_p(stats, axes, 0.2, tails, **options).withColumn("p", F.round(F.col("p").cast("double"), 6))
 
 
-@query(f"""WITH {_PERM}, r AS (SELECT perm, t, (row_number() OVER (PARTITION BY t ORDER BY diff, perm) - 1)::DOUBLE / (count(*) OVER (PARTITION BY t) - 1) AS rk FROM df),
-o AS (SELECT perm, t, t - row_number() OVER (PARTITION BY perm ORDER BY t) AS g FROM r WHERE rk > 1 - 0.2), i AS (SELECT perm, min(t) AS run_start, max(t) AS run_end, count(*) AS length FROM o GROUP BY perm, g),
-m AS (SELECT p.perm, coalesce(max(length), 0) AS longest FROM (SELECT unnest(range(40)) AS perm) p LEFT JOIN i USING (perm) GROUP BY p.perm)
-SELECT run_start, run_end, length, round((SELECT count(*) FROM m WHERE longest >= i.length) / 40.0, 6)::DOUBLE AS p FROM i WHERE perm = -1""")
+_LINE = {"t": "t"}
+_GRID = {"freq": "t // 8", "time": "t % 8"}
+
+
+@query(_cluster_sql("mean_diff", "d", "0", _LINE, "abs(x.t - y.t) = 1", "t_from AS run_start, t_to AS run_end, size AS length"))
 def time_perm_cluster(spark, d):
-    out = permutation.cluster_p(_diffs(spark, d), "t", 0.2)
-    return out.select("run_start", "run_end", "length", F.round(F.col("p").cast("double"), 6).alias("p"))
+    return _clusters(_null(spark, d, "mean_diff"), ["t"]).withColumnsRenamed({"t_from": "run_start", "t_to": "run_end", "size": "length"})
+
+
+@query(_cluster_sql("welch_t", "abs(d)", "t // 32", _LINE, "abs(x.t - y.t) = 1", "ch, t_from % 32 AS t_from, t_to % 32 AS t_to, size"))
+def time_perm_cluster_channels(spark, d):
+    """Two channels of half a trial each, Welch's t, both tails."""
+    halves = packed(spark, d).select("trial", F.posexplode(F.array(F.slice("values", 1, 32), F.slice("values", 33, 32))).alias("ch", "values")).withColumn("ch", F.col("ch").cast("long"))
+    stats = permutation.null_statistics(halves, _assigned(spark, d), "trial", ["ch"], "values", N_PERM, "welch_t").withColumnRenamed("index", "t")
+    return _clusters(stats, ["t"], 2, keys=["ch"])
+
+
+def _grid(spark: SparkSession, d: str, stat: str) -> DataFrame:
+    return _null(spark, d, stat).select("perm", F.floor(F.col("t") / 8).alias("freq"), (F.col("t") % 8).alias("time"), "stat")
+
+
+@query(_cluster_sql("mean_diff", "d", "0", _GRID, "abs(x.freq - y.freq) + abs(x.time - y.time) = 1", "freq_from, freq_to, time_from, time_to, size"))
+def time_frequency_cluster(spark, d):
+    return _clusters(_grid(spark, d, "mean_diff"), ["freq", "time"])
+
+
+@query(_cluster_sql("welch_t", "-d", "0", _GRID, "x.freq = y.freq AND abs(x.time - y.time) = 1", "freq_from, freq_to, time_from, time_to, size"))
+def time_frequency_cluster_apart(spark, d):
+    """No adjacency over frequencies, lower tail."""
+    return _clusters(_grid(spark, d, "welch_t"), ["freq", "time"], -1, ignored=("freq",))
+
+
+@query("SELECT * FROM (VALUES (0, 1), (0, -1)) AS s(freq, time)")
+def cluster_structure(spark, d):
+    return spark.createDataFrame([tuple(x) for x in permutation.neighbours(["freq", "time"], ("freq",)).tolist()], "freq int, time int")
 
 
 @query(f"""WITH {_EL}, c AS (SELECT label, t, avg(v) AS m FROM el GROUP BY ALL), s AS (SELECT trial, el.label AS y_true, c.label AS y_pred, sum(el.v * c.m) / sqrt(sum(el.v * el.v) * sum(c.m * c.m)) AS cosine FROM el JOIN c USING (t) GROUP BY ALL),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwave.operators import decoding, permutation, statistics, trials, windows
-from loomwave.plans.signals import _EL, _PERM, events, long, packed, r6
+from loomwave.plans.signals import _EL, _PERM, N_PERM, _assigned, events, long, packed, r6
 from loomwave.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,11 +76,9 @@ def reference_by_wavelet_regression(spark, d):
 @query(f"""WITH {_PERM}, w AS (SELECT a.perm, avg(m) FILTER (f) - avg(m) FILTER (NOT f) AS diff FROM a JOIN (SELECT trial, avg(v) AS m FROM el WHERE t BETWEEN 8 AND 24 GROUP BY trial) USING (trial) GROUP BY a.perm)
 SELECT round(o.diff, 6) + 0.0 AS observed, round((1 + count(*) FILTER (round(w.diff, 9) >= round(o.diff, 9))) / (1.0 + count(*)), 6)::DOUBLE AS p FROM w JOIN w o ON o.perm = -1 WHERE w.perm >= 0 GROUP BY o.diff""")
 def window_averaged_shuffle(spark, d):
-    means = long(spark, d).where("t between 8 and 24").groupBy("trial").agg(F.avg("v").alias("v")).withColumn("w", F.lit(0))
-    marks = table(spark, d, "embeddings").select(F.col("vec_id").alias("trial"), "label")
-    order = ((F.col("trial") + 1) * (7919 + 104729 * (F.col("perm") + 1))) % 1000003
-    diffs = permutation.null_differences(means, permutation.assignments(marks, "trial", F.col("label") < 5, 40, order), "trial", ["w"], "v")
-    return permutation.permutation_p(diffs, ["w"]).select(r6("observed").alias("observed"), F.round(F.col("p").cast("double"), 6).alias("p"))
+    means = packed(spark, d).select("trial", F.array(F.aggregate(F.slice("values", 9, 17), F.lit(0.0), lambda a, x: a + x) / 17).alias("values"))
+    stats = permutation.null_statistics(means, _assigned(spark, d), "trial", [], "values", N_PERM)
+    return permutation.permutation_p(stats, ["index"]).select(r6("observed").alias("observed"), F.round(F.col("p").cast("double"), 6).alias("p"))
 
 
 _P = "p AS (SELECT user_id, (user_id * 37 % 151) / 1000.0::DOUBLE AS p FROM (SELECT DISTINCT user_id FROM events))"

@@ -86,20 +86,29 @@ def test_clusters_against_brute_force(spark):
 
     longest = [max([n for _, n in runs(r)], default=0) for r in on[1:]]
     expect = {(s, n): sum(x >= n for x in longest) / 20 for s, n in runs(on[0])}
-    got = {(r["run_start"], r["length"]): float(r["p"]) for r in permutation.cluster_p(rows(spark, data, "perm int, t int, diff double"), "t", 0.3, 12).collect()}
+    got = {(r["t_from"], r["size"]): float(r["p"]) for r in permutation.cluster_p(rows(spark, data, "perm int, t int, stat double"), ["t"], 0.3, digits=12).collect()}
     assert got == pytest.approx(expect)
 
 
 def test_permutation_finds_a_difference(spark):
     rng = np.random.default_rng(12)
-    data = [(int(i), int(t), i < 20, float(rng.standard_normal() + (2 if i < 20 and 5 <= t < 12 else 0))) for i in range(40) for t in range(20)]
-    df = rows(spark, data, "trial int, t int, f boolean, v double")
+    data = [(i, i < 20, [float(rng.standard_normal() + (2 if i < 20 and 5 <= t < 12 else 0)) for t in range(20)]) for i in range(40)]
+    df = rows(spark, [*data, (99, True, None), (98, False, [None] * 20)], "trial int, f boolean, v array<double>")
     order = F.xxhash64("trial", "perm")
-    diffs = permutation.null_differences(df, permutation.assignments(df.select("trial", "f").distinct(), "trial", F.col("f"), 100, order), "trial", ["t"], "v").cache()
+    assigned = permutation.assignments(df.where("trial < 90").select("trial", "f"), "trial", F.col("f"), 100, order)
+    diffs = permutation.null_statistics(df, assigned, "trial", [], "v", 100).withColumnRenamed("index", "t").cache()
+    x = np.array([d[2] for d in data])
+    got = {(r["perm"], r["t"]): r["stat"] for r in diffs.collect()}
+    assert len(got) == 101 * 20 and np.allclose([got[-1, t] for t in range(20)], x[:20].mean(0) - x[20:].mean(0))
+    welch = {r["index"]: r["stat"] for r in permutation.null_statistics(df, assigned, "trial", [], "v", 100, "welch_t").where("perm = -1").collect()}
+    se = np.sqrt(x[:20].var(0, ddof=1) / 20 + x[20:].var(0, ddof=1) / 20)
+    assert np.allclose([welch[t] for t in range(20)], (x[:20].mean(0) - x[20:].mean(0)) / se)
+    own = permutation.null_statistics(df, assigned, "trial", [], "v", 100, lambda a, b: a[0] - b[0]).where("perm >= 0").select("stat").distinct().collect()
+    assert [r[0] for r in own] == [0.0]
     p = {r["t"]: float(r["p"]) for r in permutation.permutation_p(diffs, ["t"]).collect()}
     assert all(p[t] < 0.05 for t in range(5, 12)) and sum(p[t] < 0.05 for t in (*range(5), *range(12, 20))) <= 3
-    best = min(permutation.cluster_p(diffs, "t", 0.05).collect(), key=lambda r: r["p"])
-    assert best["run_start"] <= 6 and best["run_end"] >= 10 and float(best["p"]) <= 0.05
+    best = min(permutation.cluster_p(diffs, ["t"], 0.05).collect(), key=lambda r: r["p"])
+    assert best["t_from"] <= 6 and best["t_to"] >= 10 and float(best["p"]) <= 0.05
 
 
 def test_windows(spark):
@@ -134,3 +143,16 @@ def test_rescale_modes_and_nulls(spark):
     c = got["c", 4.0]
     assert (c["mean"], c["ratio"], c["percent"]) == (2.0, 2.0, 1.0) and c["zscore"] == pytest.approx(2 / np.sqrt(2))
     assert got["z", 5.0]["ratio"] is None and got["z", 5.0]["zscore"] is None and got["c", None]["mean"] is None
+
+
+def test_clusters_over_axes(spark):
+    on = [(0, 0), (0, 1), (1, 1), (3, 3), (4, 3)]
+    data = [(p, r, c, float((r, c) in on) if p < 0 else float(r == c == 0 and p % 5 == 0)) for p in range(-1, 20) for r in range(5) for c in range(5)]
+    df = rows(spark, data, "perm int, r int, c int, stat double")
+    got = lambda **k: sorted((x["r_from"], x["r_to"], x["c_from"], x["c_to"], x["size"]) for x in permutation.cluster_p(df, ["r", "c"], 0.04, **k).collect())
+    assert (3, 4, 3, 3, 2) in got() and sum(x[-1] for x in got()) >= 4
+    assert all(x[0] == x[1] for x in got(ignored=("r",)))
+    assert permutation.neighbours(["a", "b"], ("a",)).tolist() == [[0, 1], [0, -1]]
+    label = permutation.label_clusters(np.array(on), permutation.neighbours(["r", "c"]))
+    assert label.tolist() == [0, 0, 0, 3, 3]
+    assert permutation.label_clusters(np.array(on), permutation.neighbours(["r", "c"], ("r", "c"))).tolist() == [0, 1, 2, 3, 4]
