@@ -219,7 +219,7 @@ def cross_validate(packed: DataFrame, trial: str, label: str, values: str, model
     zero in testing. Labels too rare for a training part are never predicted. One group holds one fold's trials.
     """
     cut = packed.select(trial, label, F.posexplode(windows.window_frames(values, window, step) if window else F.array(values)).alias("window", "x"))
-    dealt = sampling.kfold(packed.select(trial, label).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_l", F.struct("repeat", label)), "_l", [sampling.hash_order(trial, "repeat", seed=seed), F.col(trial)], folds).select(trial, "repeat", F.col("fold").alias("_own"))
+    dealt = sampling.kfold(packed.select(trial, label).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_l", F.concat_ws("\u0001", "repeat", label)), "_l", [sampling.hash_order(trial, "repeat", seed=seed), F.col(trial)], folds).select(trial, "repeat", F.col("fold").alias("_own"))
     joined = cut.join(dealt, trial).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).select("repeat", "window", "fold", "_own", label, "x")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -250,7 +250,7 @@ def decode_by_moments(packed: DataFrame, trial: str, label: str, values: str, ki
     shuffled is one row per fold, class and feature, and no task holds the trials of a fold. Missing samples are skipped.
     """
     x = packed.select(trial, F.col(label).alias("y_true"), F.col(values).alias("x"))
-    spread = x.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_l", F.struct("repeat", "y_true"))
+    spread = x.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_l", F.concat_ws("\u0001", "repeat", "y_true"))
     dealt = sampling.kfold(spread, "_l", order, folds).drop("_l")
     moments = lambda df, *keys: df.groupBy(*keys, "y_true", "t").agg(F.count("v").alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("v")).alias("q"))
     whole = moments(x.select("y_true", F.posexplode("x").alias("t", "v")), *[]).where("n > 0")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwave.operators.sorted_scan import carried
+
 
 def epoch(samples: DataFrame, events: DataFrame, on: list[str], time: str, onset: str, tmin: float, tmax: float) -> DataFrame:
     """Samples with t in [onset + tmin, onset + tmax] of each event: a range join as an equi-join on time buckets.
@@ -29,12 +31,14 @@ def match_event_names(events: DataFrame, name: str, wanted: list[str]) -> DataFr
 
 
 def as_of(left: DataFrame, right: DataFrame, on: list[str], time: str, value: str, out: str) -> DataFrame:
-    """left with the value of the last right row at or before its time: one union, one window, no range join."""
+    """left with the value of the last right row (with a value) at or before its time.
+
+    Both sides are sorted together over all partitions and scanned once: no range join, and a hot key is cut.
+    """
     a = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(dict(right.dtypes)[value]))
     b = right.select(*on, time, F.col(value).alias("_v")).withColumn("_side", F.lit(0))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*on).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(out, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_v")
+    return carried(both, on, [time, "_side"], lasts={out: "_v"}).where("_side = 1").drop("_side", "_v")
 
 
 def concatenate(sources: list[DataFrame], axis: str, other: list[str], mismatch: str = "shrink") -> DataFrame:

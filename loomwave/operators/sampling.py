@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwave.operators.sorted_scan import global_rank
+from loomwave.operators.sorted_scan import carried, global_rank
 
 
 def hash_order(*cols: str | Column, seed: int = 0) -> Column:
@@ -14,14 +14,15 @@ def hash_order(*cols: str | Column, seed: int = 0) -> Column:
 
 
 def kfold(df: DataFrame, label: str, order: list[Column], folds: int, out: str = "fold") -> DataFrame:
-    """Stratified folds 0 .. folds-1: rows dealt in order within each label."""
-    w = Window.partitionBy(label).orderBy(*order)
-    return df.withColumn(out, ((F.row_number().over(w) - 1) % folds).cast("long"))
+    """Stratified folds 0 .. folds-1: rows dealt in order within each label, by running counts over range-sorted partitions."""
+    by = {f"_o{i}": o for i, o in enumerate(order)}
+    placed = carried(df.withColumns({**by, "_one": F.lit(1).cast("long"), "_label": F.col(label)}), ["_label"], list(by), sums={"_n": "_one"})
+    return placed.withColumn(out, (F.col("_n") - 1) % folds).drop(*by, "_one", "_n", "_label")
 
 
 def repeated_kfold(df: DataFrame, key: str, label: str, folds: int, repeats: int, seed: int, complete: Column, least: int, order: list[Column] | None = None) -> DataFrame:
     """repeat, fold per row, dealt by `order` (given key and `repeat`; else by a hash); a repeat counts only if each label has `least` complete rows in each fold's training part."""
-    dealt = kfold(df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_l", F.struct("repeat", label)), "_l", order or [hash_order(key, "repeat", seed=seed), F.col(key)], folds).drop("_l")
+    dealt = kfold(df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_l", F.concat_ws("\u0001", "repeat", label)), "_l", order or [hash_order(key, "repeat", seed=seed), F.col(key)], folds).drop("_l")
     full = dealt.groupBy("repeat", label, "fold").agg(F.sum(complete.cast("long")).alias("n"))
     w = Window.partitionBy("repeat", label)
     poor = full.withColumn("train", F.sum("n").over(w) - F.col("n")).where(F.col("train") < least).select("repeat").distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwave.operators.sorted_scan import carried
+
 
 def dist(df: DataFrame, keys: list[str], value: str, mode: str = "sem", ddof: int = 0) -> DataFrame:
     """Mean and spread (`sem` or `std`) per key; null where the spread is undefined."""
@@ -26,17 +28,16 @@ def welch_t(first: Column, second: Column, value: str) -> Column:
 
 
 def midranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Average rank of each value within its key, by counts of distinct values."""
+    """Average rank of each value within its key: counts of distinct values, summed in order over range-sorted partitions."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn(out, below + (F.col("_n") + 1) / 2.0).drop("_n")
-    return df.join(ranked, [*keys, value])
+    ranked = carried(counts, keys, [value], sums={"_upto": "_n"})
+    return df.join(ranked.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out)), [*keys, value])
 
 
 def brunner_munzel(df: DataFrame, group: str, first: object, second: object, value: str) -> DataFrame:
     """The Brunner-Munzel statistic of two groups, by midranks; one row."""
-    pool = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("x")).withColumn("all", F.lit(0))
-    ranked = midranks(midranks(pool, ["all"], "x", "r"), ["g"], "x", "w")
+    pool = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("x"))
+    ranked = midranks(midranks(pool, [], "x", "r"), ["g"], "x", "w")
     per = ranked.groupBy("g").agg(F.count("*").alias("n"), F.avg("r").alias("mr"), F.avg("w").alias("mw"), F.sum((F.col("r") - F.col("w")) ** 2).alias("s2"), F.sum(F.col("r") - F.col("w")).alias("s1"))
     s = (F.col("s2") - F.col("s1") ** 2 / F.col("n")) / (F.col("n") - 1)
     wide = per.withColumn("s", s).agg(*(F.max(F.when(F.col("g") == g, F.col(c))).alias(f"{c}{i}") for i, g in enumerate((first, second)) for c in ("n", "mr", "s")))
@@ -104,11 +105,15 @@ def tail_compare(diff: Column, observed: Column, tails: int) -> Column:
     return {1: diff > observed, -1: diff < observed, 2: F.abs(diff) > F.abs(observed)}[tails]
 
 
-def proportion(value: str, keys: list[str], tie: str, tail: int = 1) -> Column:
-    """Share of the other values of the key that are smaller (tail 2: in absolute size; -1: larger)."""
+def proportion(df: DataFrame, value: str, keys: list[str], tie: str, out: str, tail: int = 1) -> DataFrame:
+    """df with the share of the other values of the key that are smaller (tail 2: in absolute size; -1: larger).
+
+    Places are running counts over range-sorted partitions; the keys' totals are joined, one row per key.
+    """
     x = {1: F.col(value), 2: F.abs(F.col(value)), -1: -F.col(value)}[tail]
-    w = Window.partitionBy(*keys)
-    return (F.row_number().over(w.orderBy(x, tie)) - 1) / F.nullif(F.count("*").over(w) - 1, F.lit(0))
+    placed = carried(df.withColumns({"_x": x, "_one": F.lit(1).cast("long")}), keys, ["_x", tie], sums={"_at": "_one"})
+    total = df.groupBy(*keys).agg(F.count("*").alias("_all"))
+    return placed.join(total, keys).withColumn(out, (F.col("_at") - 1) / F.nullif(F.col("_all") - 1, F.lit(0))).drop("_x", "_one", "_at", "_all")
 
 
 def detrend(df: DataFrame, keys: list[str], time: str, value: str, out: str) -> DataFrame:

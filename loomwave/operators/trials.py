@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwave.operators import decoding, reshape, statistics, windows
+from loomwave.operators.sorted_scan import carried, global_rank
 
 
 def keep_trials(long: DataFrame, channel: str, trial: str, time: str, value: str, threshold: float) -> DataFrame:
@@ -128,9 +129,9 @@ def match_count(df: DataFrame, key: str, order: list[Column], n: int) -> DataFra
     """
     total = df.count()
     copies = -(-n // max(total, 1))
-    spread = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max(copies - 1, 0)))))
-    w = Window.orderBy("copy", *order, key)
-    return spread.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    spread = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max(copies - 1, 0))))).withColumns({f"_o{i}": o for i, o in enumerate(order)})
+    names = [f"_o{i}" for i in range(len(order))]
+    return global_rank(spread, ["copy", *names, key], "_r").where(F.col("_r") < n).drop("_r", *names)
 
 
 def hamming_error(cm: DataFrame, codes: DataFrame) -> DataFrame:
@@ -142,13 +143,14 @@ def hamming_error(cm: DataFrame, codes: DataFrame) -> DataFrame:
 
 def adjust_p(df: DataFrame, p: str, tie: str, method: str = "fdr", keys: list[str] = []) -> DataFrame:  # noqa: B006
     """df with `p_adjusted`: bonferroni, or fdr (the step-up procedure). Tests are aggregates, few against samples."""
-    w = Window.partitionBy(*keys)
-    n = F.count(p).over(w)
+    total = df.groupBy(*keys).agg(F.count(p).alias("_n"))
+    counted = df.join(total, keys) if keys else df.join(F.broadcast(total))
     if method == "bonferroni":
-        return df.withColumn("p_adjusted", F.least(F.col(p) * n, F.lit(1.0)))
-    scaled = df.withColumn("_q", F.col(p) * n / F.row_number().over(w.orderBy(p, tie)))
-    later = Window.partitionBy(*keys).orderBy(F.desc(p), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
-    return scaled.withColumn("p_adjusted", F.least(F.min("_q").over(later), F.lit(1.0))).drop("_q")
+        return counted.withColumn("p_adjusted", F.least(F.col(p) * F.col("_n"), F.lit(1.0))).drop("_n")
+    ranked = carried(counted.withColumn("_one", F.lit(1).cast("long")), keys, [p, tie], sums={"_k": "_one"})
+    scaled = ranked.withColumns({"_q": F.col(p) * F.col("_n") / F.col("_k"), "_down": -F.col("_k")})
+    least = carried(scaled, keys, ["_down"], least={"_least": "_q"})  # from the largest p down
+    return least.withColumn("p_adjusted", F.least(F.col("_least"), F.lit(1.0))).drop("_n", "_one", "_k", "_q", "_down", "_least")
 
 
 def significant_runs(df: DataFrame, keys: list[str], order: str, p: str, threshold: float) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwave.operators.sorted_scan import carried, global_rank
+
 
 def islands(df: DataFrame, keys: list[str], order: str, flag: Column, *aggregates: Column) -> DataFrame:
-    """Runs of consecutive rows with the flag: keys, run_start, run_end, length, and further aggregates of their rows."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    marked = df.withColumn("_i", F.row_number().over(w)).withColumn("_f", flag)
-    runs = marked.where("_f").withColumn("_g", F.col("_i") - F.row_number().over(w))
+    """Runs of consecutive rows with the flag: keys, run_start, run_end, length, and further aggregates of their rows.
+
+    A run is known by how many rows without the flag stand before it, a running sum over range-sorted partitions.
+    """
+    marked = df.withColumn("_off", (~F.coalesce(flag, F.lit(False))).cast("long"))
+    runs = carried(marked, keys, [order], sums={"_g": "_off"}).where("_off = 0")
     return runs.groupBy(*keys, "_g").agg(F.min(order).alias("run_start"), F.max(order).alias("run_end"), F.count("*").alias("length"), *aggregates).drop("_g")
 
 
@@ -39,8 +43,7 @@ def with_history(df: DataFrame, keys: list[str], order: str, value: str, before:
 
 def running_block(df: DataFrame, keys: list[str], order: list[str], boundary: Column) -> DataFrame:
     """block: how many boundaries stand at or before each row."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("block", F.sum(boundary.cast("long")).over(w))
+    return carried(df.withColumn("_edge", boundary.cast("long")), keys, order, sums={"block": "_edge"}).drop("_edge")
 
 
 def crop_blocks(df: DataFrame, keys: list[str], time: str, boundary: Column, start_pad: float, end_pad: float) -> DataFrame:
@@ -50,22 +53,23 @@ def crop_blocks(df: DataFrame, keys: list[str], time: str, boundary: Column, sta
 
 
 def unique_labels(df: DataFrame, label: str, order: str, out: str, delimiter: str = "-") -> DataFrame:
-    """Repeated labels get -0, -1, ... in order; single ones stay."""
-    w = Window.partitionBy(label)
-    n = F.row_number().over(w.orderBy(order)) - 1
-    return df.withColumn(out, F.when(F.count("*").over(w) > 1, F.concat_ws(delimiter, F.col(label), n.cast("string"))).otherwise(F.col(label)))
+    """Repeated labels get -0, -1, ... in order; single ones stay. The labels' counts are joined, one row per label."""
+    counted = carried(df.withColumn("_one", F.lit(1).cast("long")), [label], [order], sums={"_n": "_one"})
+    several = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_all"))
+    joined = counted.join(several, F.col(label).eqNullSafe(F.col("_label")))
+    name = F.when(F.col("_all") > 1, F.concat_ws(delimiter, F.col(label), (F.col("_n") - 1).cast("string"))).otherwise(F.col(label))
+    return joined.withColumn(out, name).drop("_one", "_n", "_label", "_all")
 
 
 def overlaps_previous(df: DataFrame, keys: list[str], onset: str, duration: str, tie: str) -> DataFrame:
     """Whether the previous event still runs at each onset."""
-    w = Window.partitionBy(*keys).orderBy(onset, tie)
-    return df.withColumn("overlaps", F.coalesce(F.lag(F.col(onset) + F.col(duration)).over(w) > F.col(onset), F.lit(False)))
+    seen = carried(df.withColumn("_end", F.col(onset) + F.col(duration)), keys, [onset, tie], previous={"_before": "_end"})
+    return seen.withColumn("overlaps", F.coalesce(F.col("_before") > F.col(onset), F.lit(False))).drop("_end", "_before")
 
 
 def fill_condition(df: DataFrame, keys: list[str], order: list[str], is_condition: Column, label: str, out: str) -> DataFrame:
     """The last condition seen at or before each row."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(F.when(is_condition, F.col(label)), ignorenulls=True).over(w))
+    return carried(df.withColumn("_named", F.when(is_condition, F.col(label))), keys, order, lasts={out: "_named"}).drop("_named")
 
 
 def peaks(df: DataFrame, keys: list[str], order: str, value: str, height: float) -> DataFrame:
@@ -77,10 +81,10 @@ def peaks(df: DataFrame, keys: list[str], order: str, value: str, height: float)
 
 
 def dense_classes(df: DataFrame, label: str, out: str, part: int | None = None, delimiter: str = "-") -> DataFrame:
-    """Numbers 0.. of the labels (or of one part of them) in sorted order; the distinct labels are numbered, then joined."""
+    """Numbers 0.. of the labels (or of one part of them) in sorted order; the distinct labels are ranked over all partitions, then joined."""
     name = F.split(label, F.lit(f"\\Q{delimiter}\\E"))[part] if part is not None else F.col(label)
     named = df.withColumn("_name", name)
-    numbers = named.select("_name").distinct().withColumn(out, (F.row_number().over(Window.orderBy("_name")) - 1).cast("long"))
+    numbers = global_rank(named.select("_name").distinct(), ["_name"], out)
     return named.join(numbers, "_name").drop("_name")
 
 

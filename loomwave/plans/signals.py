@@ -225,7 +225,7 @@ def average_reference(spark, d):
 
 @query("SELECT event_id, round((row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1)::DOUBLE / nullif(count(*) OVER (PARTITION BY user_id) - 1, 0), 6) AS proportion FROM events")
 def proportion(spark, d):
-    return table(spark, d, "events").select("event_id", F.round(statistics.proportion("value", ["user_id"], "event_id"), 6).alias("proportion"))
+    return statistics.proportion(table(spark, d, "events"), "value", ["user_id"], "event_id", "proportion").select("event_id", F.round("proportion", 6).alias("proportion"))
 
 
 @query("SELECT event_id, value > 250 AS above, value < 250 AS below, abs(value) > abs(-250) AS both FROM events")

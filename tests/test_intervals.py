@@ -2,6 +2,7 @@ import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomwave.operators import intervals, sorted_scan
 
@@ -62,3 +63,27 @@ def test_global_rank(spark):
     df = spark.createDataFrame([(i * 7919 % 1009,) for i in range(1009)], "x long")
     got = sorted(tuple(r) for r in sorted_scan.global_rank(df, ["x"], "r").collect())
     assert got == [(i, i) for i in range(1009)]
+
+
+def test_carried_state_over_partitions(spark):
+    """One key holds nine tenths of the rows; results equal a plain pass, and no task has more than twice its share."""
+    rng = random.Random(4)
+    keys = [None if rng.random() < 0.02 else 0 if rng.random() < 0.9 else rng.randrange(1, 20) for _ in range(3000)]
+    rows = [(k, i, rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b"])) for i, k in enumerate(keys)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, t int, n int, name string")
+    out = sorted_scan.carried(df, ["k"], ["t"], sums={"run": "n"}, lasts={"last": "name"}, previous={"before": "t"}, least={"low": "n"})
+    sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) <= 2 * len(rows) / 4
+    want = {}
+    for k in set(keys):
+        total, last, before, low = 0, None, None, None
+        for _, t, n, name in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            total, last, low = total + (n or 0), name or last, n if low is None else low if n is None else min(low, n)
+            want[t] = (total, last, before, low)
+            before = t
+    assert {r["t"]: (r["run"], r["last"], r["before"], r["low"]) for r in out.collect()} == want
+    assert {r["t"]: (r["run"], r["last"], r["before"], r["low"]) for r in out.union(out).collect()} == want
+    assert sorted_scan.carried(df.where("false"), ["k"], ["t"], sums={"run": "n"}).count() == 0
+    alone = sorted_scan.carried(df, [], ["t"], sums={"run": "n"}).orderBy("t").collect()
+    assert alone[-1]["run"] == sum(r[2] or 0 for r in rows)

@@ -42,9 +42,9 @@ def test_welch_and_mean_diff(spark):
 
 def test_proportion_and_tails(spark):
     df = rows(spark, [(i, v) for i, v in enumerate([0.774, 0.439, 0.859, 0.697, 0.094])], "i int, v double").withColumn("k", F.lit(1))
-    got = [r["p"] for r in df.select("i", statistics.proportion("v", ["k"], "i").alias("p")).orderBy("i").collect()]
+    got = [r["p"] for r in statistics.proportion(df, "v", ["k"], "i", "p").orderBy("i").collect()]
     assert got == [0.75, 0.25, 1.0, 0.5, 0.0]
-    down = [r["p"] for r in df.select("i", statistics.proportion("v", ["k"], "i", -1).alias("p")).orderBy("i").collect()]
+    down = [r["p"] for r in statistics.proportion(df, "v", ["k"], "i", "p", -1).orderBy("i").collect()]
     assert down == [0.25, 0.75, 0.0, 0.5, 1.0]
     d = rows(spark, [(0.274,), (-0.061,), (0.359,), (0.197,), (-0.406,)], "v double")
     for tails, expect in ((1, [True, False, True, False, False]), (2, [True, False, True, False, True]), (-1, [False, True, False, True, True])):
