@@ -35,9 +35,9 @@ def slice_labels(spark, d):
     return labelled.select(table(spark, d, "events"), event_type=slice(-3, None), user_id=slice(10, 100, 3)).select("event_id")
 
 
-@query("SELECT event_id FROM events WHERE event_type IN ('view', 'click') AND value > 100 AND user_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)")
+@query("SELECT event_id FROM events WHERE event_type IN ('view', 'click') AND value > 40 AND user_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)")
 def select_lists_and_masks(spark, d):
-    return labelled.select(table(spark, d, "events"), event_type=["view", "click"], value=F.col("value") > 100, user_id=(1, 2, 3, 5, 8, 13, 21, 34, 55, 89)).select("event_id")
+    return labelled.select(table(spark, d, "events"), event_type=["view", "click"], value=F.col("value") > 40, user_id=(1, 2, 3, 5, 8, 13, 21, 34, 55, 89)).select("event_id")
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'error' AND value > 100 THEN 0 ELSE value END AS value FROM events")
@@ -45,12 +45,12 @@ def assign_region(spark, d):
     return labelled.assign(table(spark, d, "events"), (F.col("event_type") == "error") & (F.col("value") > 100), "value", F.lit(0.0)).select("event_id", "value")
 
 
-@query(f"WITH {_PL}, w AS (SELECT unnest([-1, 0, 2, 0]) AS w, unnest([0, 1, 2, 3]) AS "at") SELECT CAST("at" AS BIGINT) AS "at", event_id FROM events JOIN pl USING (event_type) JOIN w ON place = (w + n) % n")
+@query(f"WITH {_PL}, w AS (SELECT unnest([-1, 0, 2, 0]) AS w, unnest([0, 1, 2, 3]) AS i) SELECT CAST(i AS BIGINT) AS i, event_id FROM events JOIN pl USING (event_type) JOIN w ON place = (w + n) % n")
 def take_places(spark, d):
     return labelled.take(table(spark, d, "events").select("event_type", "event_id"), "event_type", [-1, 0, 2, 0], out="i").select("i", "event_id")
 
 
-@query("WITH w AS (SELECT unnest(['view', 'error', 'view']) AS event_type, unnest([0, 1, 2]) AS "at") SELECT CAST("at" AS BIGINT) AS "at", event_id FROM events JOIN w USING (event_type)")
+@query("WITH w AS (SELECT unnest(['view', 'error', 'view']) AS event_type, unnest([0, 1, 2]) AS i) SELECT CAST(i AS BIGINT) AS i, event_id FROM events JOIN w USING (event_type)")
 def take_labels(spark, d):
     return labelled.take(table(spark, d, "events").select("event_type", "event_id"), "event_type", ["view", "error", "view"], "label", "i").select("i", "event_id")
 
@@ -60,10 +60,10 @@ def find_places(spark, d):
     return labelled.find(table(spark, d, "orders"), "o_orderpriority", "HIGH").select("o_orderpriority", "place")
 
 
-@query("SELECT event_id, CAST(n_nationkey AS BIGINT) AS "at" FROM events JOIN nation ON user_id = n_nationkey * 3")
+@query("SELECT event_id, CAST(n_nationkey AS BIGINT) AS place FROM events JOIN nation ON user_id = n_nationkey * 3")
 def reorder_by_table(spark, d):
-    wanted = table(spark, d, "nation").select((F.col("n_nationkey") * 3).cast("long").alias("user_id"), F.col("n_nationkey").cast("long").alias("at"))
-    return labelled.reorder_like(table(spark, d, "events"), "user_id", wanted).select("event_id", "at")
+    wanted = table(spark, d, "nation").select((F.col("n_nationkey") * 3).cast("long").alias("user_id"), F.col("n_nationkey").cast("long").alias("place"))
+    return labelled.reorder_like(table(spark, d, "events"), "user_id", wanted, "place").select("event_id", "place")
 
 
 @query(f"""WITH {_EL}, a AS (SELECT trial, t, v FROM el WHERE trial < 20 AND t < 40), b AS (SELECT trial - 20 AS trial, t, v FROM el WHERE trial BETWEEN 20 AND 49), s AS (SELECT trial, t, v FROM a UNION ALL SELECT trial + 20, t, v FROM b)
