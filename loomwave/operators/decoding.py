@@ -307,16 +307,21 @@ def leave_one_channel_out(packed: DataFrame, trial: str, label: str, values: str
     return spread.groupBy("channel").applyInPandas(run, "channel int, accuracy double")
 
 
-def sequence_decode(df: DataFrame, keys: list[str], order: str, features: list[str], targets: list[str], model: Callable[[], object], train: int) -> DataFrame:
-    """Kalman or grid decoding per recording: fitted on its first `train` rows, predicted for the others, in order."""
+def sequence_decode(df: DataFrame, keys: list[str], order: str, features: list[str], targets: list[str], model: Callable[[], object], train: float) -> DataFrame:
+    """Kalman or grid decoding per recording: fitted on the first share `train` of its rows, predicted for the others, in order.
+
+    The first of the others is where the decoder starts. A recording of fewer than four rows, or of constant states, has too
+    little to fit and gives no row.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         x, y = pdf[features].to_numpy(float), pdf[targets].to_numpy(float)
-        if len(pdf) <= train + 1:
+        n = max(2, int(len(pdf) * train))
+        if len(pdf) < 4 or np.ptp(y[:n], axis=0).max() == 0:
             return pd.DataFrame(columns=[*keys, order, *(f"{t}_hat" for t in targets)])
-        hat = model().fit(x[:train], y[:train]).predict(x[train:], y[train])
-        out = pdf.iloc[train:][[*keys, order]].copy()
+        hat = model().fit(x[:n], y[:n]).predict(x[n:], y[n])
+        out = pdf.iloc[n:][[*keys, order]].copy()
         for i, t in enumerate(targets):
             out[f"{t}_hat"] = hat[:, i]
         return out

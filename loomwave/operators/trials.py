@@ -43,11 +43,17 @@ def split_by_sample(samples: DataFrame, onsets: DataFrame, index: str, onset: st
 
 
 def within_intervals(samples: DataFrame, intervals: DataFrame, on: list[str], time: str, start: str, end: str, width: float) -> DataFrame:
-    """Samples inside intervals of any length, start included and end not; `width` is the bucket of the equi-join."""
-    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
-    i = intervals.where(F.col(start) < F.col(end)).withColumn("_b", F.explode(F.sequence(bucket(start), bucket(end))))
-    joined = samples.withColumn("_b", bucket(time)).join(i, [*on, "_b"])
-    return joined.where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_b")
+    """Samples inside intervals of any length, start included and end not: an equi-join on buckets.
+
+    `width` is the least bucket; longer intervals take buckets of twice the width until two hold them, so an
+    interval is at most two rows however long, and a sample one row for each width in use (63 at most).
+    """
+    level = F.greatest(F.ceil(F.log2(F.greatest((F.col(end) - F.col(start)) / width, F.lit(1.0)))), F.lit(0)).cast("int")
+    bucket = lambda c: F.floor(F.col(c) / (F.lit(width) * F.pow(F.lit(2.0), F.col("_level")))).cast("long")
+    i = intervals.where(F.col(start) < F.col(end)).withColumn("_level", level).withColumn("_b", F.explode(F.sequence(bucket(start), bucket(end))))
+    used = intervals.where(F.col(start) < F.col(end)).agg(F.collect_set(level).alias("_levels"))
+    joined = samples.join(F.broadcast(used)).withColumn("_level", F.explode("_levels")).withColumn("_b", bucket(time)).drop("_levels").join(i, [*on, "_level", "_b"])
+    return joined.where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_b", "_level")
 
 
 def tile_average(df: DataFrame, row: str, column: str, value: str, height: int, width: int, keys: list[str]) -> DataFrame:

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwave.functions import labels
-from loomwave.operators import alignment, decoding, frames, reshape, sampling, spectral, statistics, windows
+from loomwave.operators import alignment, decoding, frames, hooks, reshape, sampling, spectral, statistics, windows
 from loomwave.plans.signals import _EL, events, long, packed, r6
 from loomwave.sources import recordings
 from loomwave.streaming import signals as streams
-from loomwave.session import table
+from loomwave.session import ensure_checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -227,14 +227,18 @@ def wavelet_baseline_ratio(spark, d):
 # ---- decoders and alignment --------------------------------------------------------------------------
 
 
-@query(f"""WITH {_EL}, f AS (SELECT trial, label, max(v) FILTER (t = 0) AS x, max(v) FILTER (t = 1) AS y FROM el GROUP BY ALL), n AS (SELECT count(*) AS n, count(DISTINCT label) AS k FROM f),
+def _mean(values: str, start: int, n: int):
+    return F.aggregate(F.slice(values, start, n), F.lit(0.0), lambda a, x: a + x) / n
+
+
+@query(f"""WITH {_EL}, f AS (SELECT trial, label, avg(v) FILTER (t < 32) AS x, avg(v) FILTER (t >= 32) AS y FROM el GROUP BY ALL), n AS (SELECT count(*) AS n, count(DISTINCT label) AS k FROM f),
 m AS (SELECT label, avg(x) AS mx, avg(y) AS my, count(*) AS c, var_pop(x) * count(*) AS sxx, var_pop(y) * count(*) AS syy, covar_pop(x, y) * count(*) AS sxy FROM f GROUP BY label),
 s AS (SELECT sum(sxx) / (any_value(n) - any_value(k)) AS a, sum(sxy) / (any_value(n) - any_value(k)) AS b, sum(syy) / (any_value(n) - any_value(k)) AS e FROM m, n),
 d AS (SELECT trial, f.label AS y_true, m.label AS y_pred, ((e * mx - b * my) * x + (a * my - b * mx) * y - 0.5 * ((e * mx - b * my) * mx + (a * my - b * mx) * my)) / (a * e - b * b) + ln(c::DOUBLE / n) AS g FROM f, m, s, n),
 r AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY round(g, 9) DESC, y_pred) AS r FROM d) SELECT y_true, y_pred, count(*) AS n FROM r WHERE r = 1 GROUP BY ALL""")
 def linear_discriminant(spark, d):
-    """Discriminant of two features from per-class moments: one pass, whatever the number of trials."""
-    f = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("trial"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    """Discriminant of two features (means of both halves of a trial) from per-class moments: one pass, whatever the number of trials."""
+    f = packed(spark, d).select("label", "trial", _mean("values", 1, 32).alias("x"), _mean("values", 33, 32).alias("y"))
     n = F.count("*")
     m = f.groupBy(F.col("label").alias("y_pred")).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), n.alias("c"), (F.var_pop("x") * n).alias("sxx"), (F.var_pop("y") * n).alias("syy"), (F.covar_pop("x", "y") * n).alias("sxy"))
     free = F.sum("c") - F.count("*")
@@ -288,27 +292,31 @@ def channel_importance(spark, d):
 
 @query()
 def wiener_cascade(spark, d):
-    feats = packed(spark, d).select("trial", "label", "values")
+    """The first eighth of each trial from the other seven (means), fitted on even trials and scored on odd ones."""
+    parts = packed(spark, d).select("trial", "label", F.array(*(_mean("values", 8 * i + 1, 8) for i in range(8))).alias("x"))
 
     def run(pdf):
-        x, y = np.array(pdf["values"].tolist())[:, 1:9], np.array(pdf["values"].tolist())[:, :1]
-        hat = decoding.Wiener(3).fit(x, y).predict(x)
-        return pdf[["trial", "label"]].assign(y=y[:, 0], y_hat=hat[:, 0])
+        x, odd = np.array(pdf["x"].tolist()), (pdf["trial"] % 2 == 1).to_numpy()
+        if odd.all() or not odd.any():
+            return pdf[["trial", "label"]].head(0).assign(y=0.0, y_hat=0.0)
+        hat = decoding.Wiener(3).fit(x[~odd, 1:], x[~odd, :1]).predict(x[odd, 1:])
+        return pdf.loc[odd, ["trial", "label"]].assign(y=x[odd, 0], y_hat=hat[:, 0])
 
-    return statistics.fit_quality(feats.groupBy("label").applyInPandas(run, "trial long, label int, y double, y_hat double"), ["label"], "y", "y_hat")
+    return statistics.fit_quality(parts.groupBy("label").applyInPandas(run, "trial long, label int, y double, y_hat double"), ["label"], "y", "y_hat")
 
 
 @query()
 def kalman_decode(spark, d):
-    el = frames.unpack(packed(spark, d), "values").select("label", "trial", "t", "v")
-    wide = el.where("t < 4").groupBy("label", "trial").pivot("t", [0, 1, 2, 3]).agg(F.first("v")).toDF("label", "trial", "a", "b", "c", "e")
-    return decoding.sequence_decode(wide, ["label"], "trial", ["a", "b"], ["c", "e"], decoding.Kalman, 20)
+    """The means of the first two quarters of each trial as observations, those of the others as states, in order within a class."""
+    names = ["a", "b", "c", "e"]
+    quarters = packed(spark, d).select("label", "trial", *(_mean("values", 16 * i + 1, 16).alias(n) for i, n in enumerate(names)))
+    return decoding.sequence_decode(quarters, ["label"], "trial", ["a", "b"], ["c", "e"], decoding.Kalman, 0.5)
 
 
 @query()
 def grid_bayes_decode(spark, d):
     ev = events(spark, d).groupBy("user_id", F.floor(F.col("hours") / 24).alias("day")).agg(F.count("*").cast("double").alias("n"), F.sum(F.when(F.col("event_type") == "click", 1.0).otherwise(0.0)).alias("clicks"), F.avg("value").alias("v"))
-    return decoding.sequence_decode(ev, ["user_id"], "day", ["n", "clicks"], ["v"], lambda: decoding.GridBayes(12), 20)
+    return decoding.sequence_decode(ev, ["user_id"], "day", ["n", "clicks"], ["v"], lambda: decoding.GridBayes(12), 0.5)
 
 
 @query()
@@ -316,16 +324,18 @@ def spark_logistic(spark, d):
     from pyspark.ml.functions import array_to_vector
 
     e = packed(spark, d).select("trial", F.col("label").cast("double").alias("label"), array_to_vector("values").alias("features"))
-    model = decoding.spark_classifier("logistic", maxIter=10).fit(e)
-    return statistics.confusion(model.transform(e).select(F.col("label").cast("long").alias("t"), F.col("prediction").cast("long").alias("p")), "t", "p")
+    held = F.pmod(F.xxhash64("trial"), F.lit(4)) == 0
+    model = decoding.spark_classifier("logistic", maxIter=10).fit(e.where(~held))
+    return statistics.confusion(model.transform(e.where(held)).select(F.col("label").cast("long").alias("t"), F.col("prediction").cast("long").alias("p")), "t", "p")
 
 
 @query()
 def joint_pca(spark, d):
     el = long(spark, d).withColumn("channel", F.col("t") % 8).withColumn("time", F.floor(F.col("t") / 8))
-    sources = [el.where("trial % 2 = 0"), el.where("trial % 2 = 1 and channel < 6")]
+    sources = [el.where("trial % 2 = 0"), el.where("trial % 2 = 1")]
     model = alignment.JointPca(4).fit(sources, "label", "time", "channel", "v")
-    return model.transform(sources[1], 1, ["trial", "time"], "channel", "v")
+    first, second = (model.transform(s, i, ["trial", "time"], "channel", "v") for i, s in enumerate(sources))
+    return first.unionByName(second)
 
 
 @query()
@@ -392,3 +402,60 @@ def moving_mean(spark, d):
 def event_sites(spark, d):
     ev = table(spark, d, "events").where("event_type = 'signup'").withColumn("n_nationkey", F.col("user_id") % 25)
     return ev.join(table(spark, d, "nation"), "n_nationkey").select("event_id", "n_name")
+
+
+# ---- hooks and pipelines -----------------------------------------------------------------------------
+
+
+@query(f"WITH {_EL} SELECT a.trial, a.t, round(max(b.v) - min(b.v), 6) + 0.0 AS v FROM el a JOIN el b ON b.trial = a.trial AND b.t BETWEEN a.t AND a.t + 7 WHERE a.t <= 56 GROUP BY ALL")
+def sliding_scorer(spark, d):
+    out = hooks.sliding_scores(packed(spark, d), "values", "score", 8, lambda w: w.max(-1) - w.min(-1)).select("trial", F.posexplode("score").alias("t", "v"))
+    return out.select("trial", F.col("t").cast("long").alias("t"), r6("v").alias("v"))
+
+
+@query(f"WITH {_EL}, x AS (SELECT trial, label, t, CASE WHEN (trial + t) % 7 <> 0 THEN v END AS v FROM el) SELECT trial, t, round(coalesce(v, avg(v) OVER (PARTITION BY label, t)), 6) + 0.0 AS v FROM x")
+def impute_mean(spark, d):
+    x = long(spark, d).withColumn("v", F.when((F.col("trial") + F.col("t")) % 7 != 0, F.col("v")))
+    return hooks.impute(x, ["label", "t"], "v", "mean").select("trial", "t", r6("v").alias("v"))
+
+
+@query(f"""WITH {_EL}, w AS (SELECT * FROM el WHERE t BETWEEN 8 AND 40), s AS (SELECT label, avg(v) AS c, stddev_pop(v) AS d FROM w GROUP BY label), k AS (SELECT label, trial FROM (SELECT label, trial, max(abs(v)) AS peak FROM w GROUP BY ALL) JOIN s USING (label) WHERE peak < d * 3 + c)
+SELECT trial, t, round(CASE WHEN trial IN (SELECT trial FROM k) THEN v END, 6) + 0.0 AS v FROM el""")
+def outlier_trials_to_null(spark, d):
+    return hooks.outliers_to_null(long(spark, d), ["label"], "trial", "t", "v", 3.0, 8, 40).select("trial", "t", r6("v").alias("v"))
+
+
+@query(_BANK.replace("ft AS (SELECT", "car AS (SELECT trial, label, t, v - avg(v) OVER (PARTITION BY label, t) AS v FROM el), ft AS (SELECT").replace("FROM el, (SELECT unnest(range(64)) AS k)", "FROM car, (SELECT unnest(range(64)) AS k)") + """,
+e AS (SELECT label, y.trial, y.t - 4 AS t, sum(a) AS v FROM y JOIN (SELECT DISTINCT trial, label FROM el) USING (trial) WHERE y.t BETWEEN 4 AND 59 GROUP BY ALL), bl AS (SELECT label, avg(v) AS m, stddev_samp(v) AS s FROM e WHERE t < 12 GROUP BY label),
+z AS (SELECT label, t, (v - m) / s AS z FROM e JOIN bl USING (label) WHERE t >= 12) SELECT label, t, round(avg(z), 6) + 0.0 AS mean, round(stddev_pop(z) / sqrt(count(z)), 6) + 0.0 AS sem FROM z GROUP BY ALL""")
+def evoked_band(spark, d):
+    out = hooks.evoked_band(packed(spark, d), "trial", "label", "values", 64.0, (4, 16), 4, 12)
+    return out.select("label", F.col("t").cast("long").alias("t"), r6("mean").alias("mean"), r6("sem").alias("sem"))
+
+
+@query()
+def clean_in_passes(spark, d):
+    out = hooks.clean_signals(packed(spark, d), "values", 64.0, [16.0], [64, 32])
+    return out.select("trial", F.posexplode("values").alias("t", "v"))
+
+
+@query(f"WITH {_EL} SELECT trial, t, round(v, 6) + 0.0 AS v FROM el")
+def array_round_trip(spark, d):
+    """A labelled array written and read again, with its axes in order."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/array"
+    hooks.save_array(long(spark, d), path, ["trial", "t"], "v")
+    df, axes, value = hooks.load_array(spark, path)
+    return df.select(*axes, r6(value).alias("v"))
+
+
+@query("SELECT o_custkey, sum(o_totalprice) FILTER (o_orderstatus = 'F') AS f, sum(o_totalprice) FILTER (o_orderstatus = 'O') AS o FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey")
+def struct_columns(spark, d):
+    sums = table(spark, d, "orders").where("o_orderstatus in ('F', 'O')").groupBy("o_custkey", "o_orderstatus").agg(F.sum("o_totalprice").alias("v"))
+    return hooks.as_struct_column(sums, ["o_custkey"], "o_orderstatus", "v", ["F", "O"], "s").select("o_custkey", F.col("s.F").alias("f"), F.col("s.O").alias("o"))
+
+
+@query()
+def decode_reduced(spark, d):
+    """Principal components before naive Bayes, through the reducer hook."""
+    return decoding.cross_validate(packed(spark, d), "trial", "label", "values", lambda: hooks.Reduced(decoding.GaussianBayes), 5, 1, 7)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwave.operators import decoding, trials
+from loomwave.operators import decoding, hooks, trials
 from loomwave.sources import recordings
 
 
@@ -90,3 +90,25 @@ def test_load_conditions(spark, tmp_path):
     spark.createDataFrame(data, "subject string, condition string, event string, channel string, t int, trial int, v double").write.partitionBy("subject", "condition").parquet(str(tmp_path / "power"))
     got = recordings.load_conditions(spark, str(tmp_path), "power", ["go"], average=True).collect()
     assert {(r["event"], r["t"]) for r in got} == {("a", 0), ("a", 1)} and got[0]["v"] is not None
+
+
+def test_intervals_of_any_length(spark):
+    rng = np.random.default_rng(5)
+    intervals = [(i, int(k), float(a), float(a + n)) for i, (k, a, n) in enumerate(zip(rng.integers(0, 3, 60), rng.uniform(-50, 50, 60), [*rng.uniform(0, 9, 55), 1e6, 1e9, 1e12, 0, 40]))]
+    samples = [(i, int(k), float(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 200), rng.uniform(-60, 200, 200)))]
+    i = spark.createDataFrame(intervals, "i long, k int, a double, b double")
+    s = spark.createDataFrame(samples, "s long, k int, t double")
+    got = {(r["s"], r["i"]) for r in trials.within_intervals(s, i, ["k"], "t", "a", "b", 1.0).collect()}
+    assert got == {(x[0], y[0]) for x in samples for y in intervals if x[1] == y[1] and y[2] <= x[2] < y[3]}
+
+
+def test_hooks(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0, 5.0, 2.0]), (2, [1.0]), (3, None), (4, [1.0, None, 2.0])], "trial long, v array<double>")
+    got = {r["trial"]: r["s"] for r in hooks.sliding_scores(df, "v", "s", 2, lambda w: w.sum(-1)).collect()}
+    assert got == {1: [6.0, 7.0], 2: None, 3: None, 4: None}
+    model = decoding.Template().fit(np.eye(3), np.array([0, 1, 2]))
+    hooks.save_model(spark, model, str(tmp_path / "m"))
+    assert hooks.load_model(spark, str(tmp_path / "m")).predict(np.eye(3)).tolist() == [0, 1, 2]
+    long = spark.createDataFrame([("a", 1.0), ("a", None), ("b", None)], "k string, v double")
+    assert sorted(str(r["v"]) for r in hooks.impute(long, ["k"], "v", "mean").collect()) == ["1.0", "1.0", "None"]
+    assert {r["v"] for r in hooks.impute(long, ["k"], "v", lambda d, k, v: d.fillna(9, [v])).collect()} == {1.0, 9.0}
