@@ -10,14 +10,16 @@ BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u200
 
 
 def strip_blanks(c: Column) -> Column:
-    return F.btrim(c, F.lit(BLANKS))
+    """Without outer blanks; most texts begin and end with a plain character and pass as they are."""
+    plain = lambda x: x.between("!", "~")
+    return F.when(plain(F.substring(c, 1, 1)) & plain(F.substring(c, -1, 1)), c).otherwise(F.btrim(c, F.lit(BLANKS)))
 
 
 def normal_key(c: Column) -> Column:
     """Equal for keys that differ in outer blanks, case, a leading ``./``, leading zeros of numbers or ``\\`` for ``/``."""
     path = F.replace(F.lower(strip_blanks(c)), F.lit("\\"), F.lit("/"))
     bare = F.when(path.startswith("./"), F.substring(path, 3, 2**31 - 1)).otherwise(path)
-    return F.regexp_replace(bare, r"(?<![0-9])0+(?=[0-9])", "")
+    return F.regexp_replace(bare, r"0(?<![0-9]0)0*(?=[0-9])", "")  # looks back only where a zero stands
 
 
 def reference_key(c: Column) -> Column:

@@ -55,3 +55,12 @@ def test_keys(spark):
     df = spark.createDataFrame([("./Ses-01\\X_0007.PNG ",), ("ses-1/x_7.png",), ("a00b0",), ("000",), (" ",), ("N/A",), (None,)], "k string")
     got = [tuple(r) for r in df.select(normal_key(F.col("k")), reference_key(F.col("k"))).collect()]
     assert got == [("ses-1/x_7.png",) * 2, ("ses-1/x_7.png",) * 2, ("a0b0",) * 2, ("0",) * 2, ("", None), ("n/a", None), (None, None)]
+
+
+def test_keys_in_one_form(spark):
+    from loomwave.functions.keys import normal_key, strip_blanks
+
+    cases = {"  a00\t": "a0", "　x000": "x0", "000": "0", "a0b00c01": "a0b0c1", "./007/08\\009": "7/8/9", "é00é": "é0é", "": "", "  ": "", "00 0 01": "0 0 1", "a\xa0": "a", "A10": "a10", None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    assert {r["v"]: r["k"] for r in df.select("v", normal_key(F.col("v")).alias("k")).collect()} == cases
+    assert [r[0] for r in df.where("v = '  a00\t'").select(strip_blanks(F.col("v"))).collect()] == ["a00"]
