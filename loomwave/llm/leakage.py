@@ -332,9 +332,11 @@ class Searcher:
         latent, whole, owner = np.concatenate(latent), np.concatenate(whole), owner[np.concatenate(names)]
         energy = (latent**2).sum(1)
         held = energy >= settings.captured * whole
-        self.energy = energy[held]
-        self.windows = (latent[held] / np.sqrt(np.maximum(self.energy, 1e-300))[:, None]).astype(np.float32)
-        self.owners, self.owner_starts = np.unique(owner[held], return_index=True)
+        held_at = np.nonzero(held)[0]
+        order = held_at[np.argsort(energy[held_at], kind="stable")]
+        self.energy = energy[order]
+        self.windows = (latent[order] / np.sqrt(np.maximum(self.energy, 1e-300))[:, None]).astype(np.float32)
+        self.owners = owner[order]
         beyond = np.nonzero(~held)[0]
         self.beyond = [(int(owner[b]), np.unique(numbers[b + 1])) for b in beyond]
 
@@ -351,14 +353,16 @@ class Searcher:
             latent = a @ self.basis[used]
             energy = (latent**2).sum(1)
             heavy = np.nonzero((energy > 0) & (energy >= self.settings.mass * least))[0]
-            for part in np.array_split(heavy, -(-len(heavy) // 2000) or 1):
-                z = (latent[part] / np.sqrt(energy[part, None])).astype(np.float32)
-                near = (z @ self.windows.T >= self.settings.cosine) & (energy[part, None] >= self.settings.mass * self.energy)
-                if not near.size:
+            heavy = heavy[np.argsort(energy[heavy], kind="stable")]
+            for part in np.array_split(heavy, -(-len(heavy) // 128) or 1):
+                if not len(part):
                     continue
-                items = np.logical_or.reduceat(near, self.owner_starts, axis=1)
-                for i in np.nonzero(items.any(1))[0]:
-                    out[int(names[part[i]])].update(self.owners[items[i]].tolist())
+                # item passages by rising length: those that a block of passages is too short for are left out
+                k = int(np.searchsorted(self.energy, energy[part[-1]] / self.settings.mass, "right"))
+                z = (latent[part] / np.sqrt(energy[part, None])).astype(np.float32)
+                passage, window = np.nonzero((z @ self.windows[:k].T >= self.settings.cosine) & (energy[part, None] >= self.settings.mass * self.energy[:k]))
+                for i, owner in zip(names[part[passage]].tolist(), self.owners[window].tolist()):
+                    out[i].add(owner)
             for owner, window in self.beyond:
                 at = np.searchsorted(used, window)
                 at = at[(at < len(used)) & (used[np.minimum(at, len(used) - 1)] == window)]
