@@ -269,8 +269,11 @@ _BEST = "SELECT repeat::INT AS repeat, fold, y_true, y_pred, count(*) AS n FROM
 
 
 def _moments(kind: str) -> Callable[[SparkSession, str], DataFrame]:
-    order = [((F.col("trial") + 1) * (7919 + 104729 * (F.col("repeat") + 1))) % 1000003, F.col("trial")]
-    return lambda spark, d: decoding.decode_by_moments(packed(spark, d), "trial", "label", "values", kind, 5, 2, order)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        order = [((F.col("trial") + 1) * (7919 + 104729 * (F.col("repeat") + 1))) % 1000003, F.col("trial")]
+        return decoding.decode_by_moments(packed(spark, d), "trial", "label", "values", kind, 5, 2, order)
+
+    return run
 
 
 QUERIES |= {"decode_bayes": _moments("bayes"), "decode_template_folds": _moments("template")}
