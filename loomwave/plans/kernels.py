@@ -356,10 +356,16 @@ def shared_trial_pairs(spark, d):
     return alignment.shared_trials(ev, "event_type", "s", F.col("event_id")).select("event_id", "pair")
 
 
-@query()
+@query("""WITH p AS (SELECT user_id, avg(value) AS m, stddev_pop(value) AS s, max(value) AS x FROM events GROUP BY user_id),
+z AS (SELECT user_id, (m - avg(m) OVER ()) / stddev_pop(m) OVER () AS m, (s - avg(s) OVER ()) / stddev_pop(s) OVER () AS s, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x FROM p),
+d AS (SELECT a.user_id AS u, b.user_id AS w, sqrt((a.m - b.m) ** 2 + (a.s - b.s) ** 2 + (a.x - b.x) ** 2) AS d FROM z a JOIN z b ON a.user_id <> b.user_id), r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY d, w) AS r FROM d),
+nb AS (SELECT u, w, d FROM r, (SELECT greatest(1, count(*) // 5) AS k FROM z) WHERE r <= k), kth AS (SELECT u, max(d) AS kd FROM nb GROUP BY u),
+den AS (SELECT nb.u, 1 / greatest(avg(greatest(nb.d, kth.kd)), 1e-10) AS den FROM nb JOIN kth ON kth.u = nb.w GROUP BY nb.u), f AS (SELECT nb.u, avg(b.den) / any_value(a.den) AS f FROM nb JOIN den a ON a.u = nb.u JOIN den b ON b.u = nb.w GROUP BY nb.u),
+th AS (SELECT min(t) AS t FROM (SELECT t, avg(CASE WHEN f > t THEN 1.0 ELSE 0 END) AS share FROM f, (SELECT 1.5 + unnest(range(20)) AS t) GROUP BY t) WHERE share <= 0.2)
+SELECT u AS user_id, round(f, 6) + 0.0 AS factor FROM f, th WHERE f > t""")
 def bad_channels(spark, d):
     per = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.max("value").alias("x"))
-    return alignment.bad_channels(per, "user_id", ["m", "s", "x"])
+    return alignment.bad_channels(per, "user_id", ["m", "s", "x"]).withColumn("factor", r6("factor"))
 
 
 @query()

@@ -140,11 +140,15 @@ def nested_round_trip(spark, d):
     return flat.select("trial", F.col("label").cast("int").alias("label"), F.col("t").cast("long").alias("t"), r6("value").alias("v"))
 
 
-@query()
+@query(f"""WITH {_EL}, x AS (SELECT lag(v, 2) OVER w AS a, lag(v, 1) OVER w AS b, v AS c, 2 * v + coalesce(lag(v, 1) OVER w, 0) AS y FROM el WINDOW w AS (PARTITION BY trial ORDER BY t)),
+m AS (SELECT var_pop(a) + 0.1 / count(*) AS aa, var_pop(b) + 0.1 / count(*) AS bb, var_pop(c) + 0.1 / count(*) AS cc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my FROM x WHERE a IS NOT NULL AND b IS NOT NULL),
+s AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m),
+w AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det AS wa, (aa * (by_ * cc - cy * bc) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS wb, (aa * (bb * cy - bc * by_) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det AS wc FROM s)
+SELECT unnest(['lag_2', 'lag_1', 'now', 'intercept']) AS name, unnest([round(wa, 4) + 0.0, round(wb, 4) + 0.0, round(wc, 4) + 0.0, round(my - wa * ma - wb * mb - wc * mc, 4) + 0.0]) AS weight FROM w""")
 def lag_model(spark, d):
     el = long(spark, d).withColumn("y", F.col("v") * 2 + F.coalesce(F.lag("v", 1).over(windows.Window.partitionBy("trial").orderBy("t")), F.lit(0.0)))
     w = trials.lag_model(el, ["trial"], "t", "v", "y", 2, 0.1)
-    return spark.createDataFrame([(k, round(v, 4)) for k, v in w.items()], "name string, weight double")
+    return spark.createDataFrame([(k, round(v, 4) + 0.0) for k, v in w.items()], "name string, weight double")
 
 
 @query()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -99,9 +102,34 @@ def save_derivative(df: DataFrame, path: str, partition: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (local, hdfs, s3, gs and others that pyarrow knows) and the path within it."""
+    return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:/", path) else (fs.LocalFileSystem(), path)
+
+
+def _files(path: str) -> list[str]:
+    """The files that a path names: itself, those of a folder, or those whose names match its last part with * and ?."""
+    system, inner = _file_system(path)
+    prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+    folder, _, name = inner.rpartition("/")
+    if any(c in name for c in "*?"):
+        found = [f for f in system.get_file_info(fs.FileSelector(folder or ".")) if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, name)]
+    elif system.get_file_info(inner).type == fs.FileType.Directory:
+        found = [f for f in system.get_file_info(fs.FileSelector(inner)) if f.type == fs.FileType.File]
+    else:
+        return [path]
+    return sorted(prefix + f.path for f in found)
+
+
+def _open(path: str):
+    system, inner = _file_system(path)
+    return system.open_input_file(inner)
+
+
 class OpenRecording(DataSource):
     """Continuous recordings of blocks: a 1024-byte text header, then records of a timestamp, a count, 1024 big-endian
-    samples and a marker. Read with format("open_recording") after registering; one partition per `blocks` records.
+    samples and a marker. Read with format("open_recording") after registering; one partition per `blocks` records of a
+    file. path is a file, a folder or a pattern, local or on any file system that pyarrow opens.
     """
 
     HEADER, RECORD, SAMPLES = 1024, 8 + 2 + 2 + 2 * 1024 + 10, 1024
@@ -111,33 +139,57 @@ class OpenRecording(DataSource):
         return "open_recording"
 
     def schema(self) -> str:
-        return "channel string, sfreq double, block long, timestamp long, values array<double>"
+        return "channel string, sfreq double, block long, timestamp long, values array<double>, path string"
 
     def reader(self, schema) -> DataSourceReader:
         return _OpenReader(self.options)
 
 
+def _text_header(content: bytes):
+    """A lookup of the fields of a text header."""
+    fields = dict(x.strip().split("=", 1) for x in content.decode("latin-1").replace("header.", "").split(";") if "=" in x)
+    return lambda k, default: fields.get(f"{k} ", fields.get(k, default)).strip().strip("'")
+
+
 class _OpenReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.blocks = options["path"], int(options.get("blocks", 1000))
 
     def partitions(self):
-        import os
-
-        n = (os.path.getsize(self.path) - OpenRecording.HEADER) // OpenRecording.RECORD
-        return [InputPartition((a, min(a + self.blocks, n))) for a in range(0, n, self.blocks)]
+        parts = []
+        for path in _files(self.path):
+            with _open(path) as f:
+                n = (f.size() - OpenRecording.HEADER) // OpenRecording.RECORD
+            parts += [InputPartition((path, a, min(a + self.blocks, n))) for a in range(0, n, self.blocks)]
+        return parts
 
     def read(self, partition):
-        a, b = partition.value
-        with open(self.path, "rb") as f:
-            header = dict(x.strip().split("=", 1) for x in f.read(OpenRecording.HEADER).decode("latin-1").replace("header.", "").split(";") if "=" in x)
-            clean = lambda k, d: header.get(f"{k} ", header.get(k, d)).strip().strip("'")
-            volts, sfreq, channel = float(clean("bitVolts", "1")), float(clean("sampleRate", "1")), clean("channel", "")
+        path, a, b = partition.value
+        with _open(path) as f:
+            field = _text_header(f.read(OpenRecording.HEADER))
+            volts, sfreq, channel = float(field("bitVolts", "1")), float(field("sampleRate", "1")), field("channel", "")
             f.seek(OpenRecording.HEADER + a * OpenRecording.RECORD)
             for i in range(a, b):
                 record = f.read(OpenRecording.RECORD)
                 stamp, count = struct.unpack("<qH", record[:10])
-                yield channel, sfreq, i, stamp, (np.frombuffer(record, ">i2", count, 12) * volts).tolist()
+                yield channel, sfreq, i, stamp, (np.frombuffer(record, ">i2", count, 12) * volts).tolist(), path
+
+
+def read_open_events(spark: SparkSession, path: str) -> DataFrame:
+    """path, timestamp, position, kind, node, event, channel, recording of event files: a 1024-byte text header, then records
+    of 16 bytes. A file is read by one task; events are few against samples.
+    """
+    record = np.dtype([("timestamp", "<i8"), ("position", "<i2"), ("kind", "u1"), ("node", "u1"), ("event", "u1"), ("channel", "u1"), ("recording", "<u2")])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p, content in zip(pdf["path"], pdf["content"]):
+                body = content[OpenRecording.HEADER :]
+                rows = np.frombuffer(body, record, len(body) // record.itemsize)
+                yield pd.DataFrame({"path": p, **{n: rows[n].astype(np.int64) for n in record.names}})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(read, "path string, timestamp long, position long, kind long, node long, event long, channel long, recording long")
 
 
 def load_conditions(spark: SparkSession, path: str, value_type: str, conditions: list[str], average: bool = False) -> DataFrame:
@@ -155,8 +207,11 @@ def load_conditions(spark: SparkSession, path: str, value_type: str, conditions:
 
 
 class RhdRecording(DataSource):
-    """Amplifier signals of RHD2000 files (format version 1 and up, 60 or 128 samples a block): channel, sfreq, block,
-    timestamp (of the first sample, in samples) and values in microvolts. One partition per `blocks` blocks.
+    """Signals of RHD2000 files (format version 1 and up, 60 or 128 samples a block): channel, sfreq, block, timestamp
+    (of the first sample, in samples), values and path. One partition per `blocks` blocks of a file; path as in OpenRecording.
+
+    Option `signals`: amplifier (microvolts), auxiliary (volts, a quarter of the rate), adc (volts, by the board's mode)
+    or digital (0 and 1; trigger lines).
     """
 
     @classmethod
@@ -164,7 +219,7 @@ class RhdRecording(DataSource):
         return "rhd_recording"
 
     def schema(self) -> str:
-        return "channel string, sfreq double, block long, timestamp long, values array<double>"
+        return "channel string, sfreq double, block long, timestamp long, values array<double>, path string"
 
     def reader(self, schema) -> DataSourceReader:
         return _RhdReader(self.options)
@@ -172,9 +227,14 @@ class RhdRecording(DataSource):
 
 class _RhdReader(DataSourceReader):
     MAGIC = 0xC6912702
+    #: Kind of channel of each option, and volts a unit and offset of the board's inputs by mode (fixed values).
+    KINDS = {"amplifier": 0, "auxiliary": 1, "adc": 3, "digital": 4}
+    BOARD = {0: (0.000050354, 0), 1: (0.00015259, 32768), 13: (0.0003125, 32768)}
 
     def __init__(self, options):
-        self.path, self.blocks = options["path"], int(options.get("blocks", 500))
+        self.path, self.blocks, self.signals = options["path"], int(options.get("blocks", 500)), options.get("signals", "amplifier")
+        if self.signals not in self.KINDS:
+            raise ValueError(f"signals must be one of {', '.join(self.KINDS)}")
 
     def _header(self, f) -> dict:
         take = lambda fmt: struct.unpack("<" + fmt, f.read(struct.calcsize("<" + fmt)))
@@ -185,7 +245,7 @@ class _RhdReader(DataSourceReader):
 
         magic, major, minor = take("Ihh")
         if magic != self.MAGIC:
-            raise ValueError(f"{self.path} is no RHD file")
+            raise ValueError("no RHD file")
         (rate,) = take("f")
         take("h6f")  # filters that were on, and their corners
         take("h2f")  # notch mode, impedance frequencies
@@ -196,38 +256,59 @@ class _RhdReader(DataSourceReader):
         board = take("h")[0] if version >= (1, 3) else 0
         if version >= (2, 0):
             text()
-        kinds: dict[int, list[str]] = {k: [] for k in range(6)}
+        kinds: dict[int, list[tuple[str, int]]] = {k: [] for k in range(6)}
         for _ in range(take("h")[0]):
             text(), text()
             on, channels, _ = take("hhh")
             for _ in range(channels):
                 name, _ = text(), text()
-                _, _, kind, enabled, _, _ = take("hhhhhh")
+                order, _, kind, enabled, _, _ = take("hhhhhh")
                 take("4h2f")  # trigger settings and impedance
                 if on and enabled:
-                    kinds[kind].append(name)
+                    kinds[kind].append((name, order))
         samples = 128 if major >= 2 else 60
         n = {k: len(v) for k, v in kinds.items()}
-        size = samples * 4 + samples * 2 * n[0] + samples // 4 * 2 * n[1] + 2 * n[2] + samples * 2 * n[3] + 2 * sensors + (samples * 2 if n[4] else 0) + (samples * 2 if n[5] else 0)
+        sizes = [samples * 4, samples * 2 * n[0], samples // 4 * 2 * n[1], 2 * n[2], 2 * sensors, samples * 2 * n[3], samples * 2 * bool(n[4]), samples * 2 * bool(n[5])]
+        starts = dict(zip(("amplifier", "auxiliary", "supply", "sensors", "adc", "digital"), np.cumsum(sizes).tolist()))
         signed = version >= (1, 2)
-        return {"names": kinds[0], "rate": rate, "samples": samples, "size": size, "start": f.tell(), "signed": signed, "board": board}
+        return {"channels": kinds[self.KINDS[self.signals]], "rate": rate, "samples": samples, "size": sum(sizes), "at": starts[self.signals], "start": f.tell(), "signed": signed, "board": board}
 
-    def partitions(self):
-        import os
+    def _open(self, path: str):
+        f = _open(path)
+        try:
+            return f, self._header(f)
+        except (ValueError, struct.error):
+            raise ValueError(f"{path} is no RHD file") from None
 
-        with open(self.path, "rb") as f:
-            h = self._header(f)
-        n = (os.path.getsize(self.path) - h["start"]) // h["size"]
-        return [InputPartition((a, min(a + self.blocks, n))) for a in range(0, n, self.blocks)]
+    def partitions(self):
+        parts = []
+        for path in _files(self.path):
+            f, h = self._open(path)
+            with f:
+                n = (f.size() - h["start"]) // h["size"]
+            parts += [InputPartition((path, a, min(a + self.blocks, n))) for a in range(0, n, self.blocks)]
+        return parts
+
+    def _values(self, h: dict, block: bytes) -> np.ndarray:
+        """Channels x samples of a block."""
+        channels, samples = h["channels"], h["samples"] // 4 if self.signals == "auxiliary" else h["samples"]
+        if self.signals == "digital":
+            word = np.frombuffer(block, "<u2", samples, h["at"])
+            return np.array([(word >> order) & 1 for _, order in channels], float)
+        raw = np.frombuffer(block, "<u2", samples * len(channels), h["at"]).reshape(len(channels), samples).astype(float)
+        if self.signals == "amplifier":
+            return (raw - 32768) * 0.195
+        step, middle = (0.0000374, 0) if self.signals == "auxiliary" else self.BOARD.get(h["board"], self.BOARD[0])
+        return (raw - middle) * step
 
     def read(self, partition):
-        a, b = partition.value
-        with open(self.path, "rb") as f:
-            h = self._header(f)
+        path, a, b = partition.value
+        f, h = self._open(path)
+        rate = float(h["rate"]) / (4 if self.signals == "auxiliary" else 1)
+        with f:
             f.seek(h["start"] + a * h["size"])
             for i in range(a, b):
                 block = f.read(h["size"])
                 (stamp,) = struct.unpack("<i" if h["signed"] else "<I", block[:4])
-                raw = np.frombuffer(block, "<u2", h["samples"] * len(h["names"]), h["samples"] * 4).reshape(len(h["names"]), h["samples"])
-                for name, row in zip(h["names"], (raw.astype(float) - 32768) * 0.195):
-                    yield name, float(h["rate"]), i, stamp, row.tolist()
+                for (name, _), row in zip(h["channels"], self._values(h, block)):
+                    yield name, rate, i, stamp, row.tolist(), path

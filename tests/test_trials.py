@@ -65,15 +65,15 @@ def test_nested_and_adjusted(spark):
     assert got == {1: pytest.approx(0.04), 2: pytest.approx(0.04 * 4 / 3), 3: pytest.approx(0.04 * 4 / 3), 4: pytest.approx(0.5)}
 
 
-def rhd(blocks):
+def rhd(blocks, adc=False):
     text = lambda s: struct.pack("<I", 2 * len(s)) + s.encode("utf-16-le") if s else struct.pack("<I", 0xFFFFFFFF)
     channel = lambda name, kind, on: text(name) + text(name) + struct.pack("<hhhhhh", 0, 0, kind, on, 0, 0) + struct.pack("<4h2f", 0, 0, 0, 0, 0.0, 0.0)
     head = struct.pack("<Ihh", 0xC6912702, 2, 0) + struct.pack("<f", 20000.0) + struct.pack("<h6f", 0, *[0.0] * 6) + struct.pack("<h2f", 0, 0.0, 0.0)
     head += text("note") + text("") + text("") + struct.pack("<h", 0) + struct.pack("<h", 0) + text("REF") + struct.pack("<h", 1)
-    head += text("Port A") + text("A") + struct.pack("<hhh", 1, 4, 2) + channel("A-000", 0, 1) + channel("A-001", 0, 1) + channel("A-002", 0, 0) + channel("DIN", 4, 1)
+    head += text("Port A") + text("A") + struct.pack("<hhh", 1, 4 + adc, 2) + channel("A-000", 0, 1) + channel("A-001", 0, 1) + channel("A-002", 0, 0) + channel("DIN", 4, 1) + (channel("ANALOG", 3, 1) if adc else b"")
     body = b""
     for i in range(blocks):
-        body += np.arange(i * 128, i * 128 + 128, dtype="<i4").tobytes() + np.full((2, 128), [[32768 + 10], [32768 - 10]], "<u2").tobytes() + np.zeros(128, "<u2").tobytes()
+        body += np.arange(i * 128, i * 128 + 128, dtype="<i4").tobytes() + np.full((2, 128), [[32768 + 10], [32768 - 10]], "<u2").tobytes() + (np.arange(0, 12800, 100, dtype="<u2").tobytes() if adc else b"") + np.arange(128, dtype="<u2").tobytes()
     return head + body
 
 
@@ -85,6 +85,28 @@ def test_rhd(spark, tmp_path):
     assert all(r["values"][5] == pytest.approx(1.95 if r["channel"] == "A-000" else -1.95) and len(r["values"]) == 128 and r["sfreq"] == 20000.0 for r in rows)
 
 
+def test_rhd_signals_of_a_folder(spark, tmp_path):
+    for name in ("a.rhd", "b.rhd"):
+        (tmp_path / name).write_bytes(rhd(2, adc=True))
+    (tmp_path / "other.txt").write_text("x")
+    spark.dataSource.register(recordings.RhdRecording)
+    load = lambda path, kind: spark.read.format("rhd_recording").option("path", path).option("signals", kind).load().collect()
+    rows = load(f"file://{tmp_path}/*.rhd", "digital")
+    assert len(rows) == 4 and len({r["path"] for r in rows}) == 2 and rows[0]["channel"] == "DIN" and rows[0]["values"][:4] == [0.0, 1.0, 0.0, 1.0]
+    rows = load(str(tmp_path / "a.rhd"), "adc")
+    assert [r["channel"] for r in rows] == ["ANALOG"] * 2 and rows[0]["values"][3] == pytest.approx(300 * 0.000050354)
+    assert len(load(str(tmp_path / "a.rhd"), "amplifier")) == 4 and load(str(tmp_path / "a.rhd"), "auxiliary") == []
+    with pytest.raises(Exception, match="RHD"):
+        load(str(tmp_path / "other.txt"), "adc")
+
+
+def test_open_events(spark, tmp_path):
+    record = struct.pack("<qhBBBBH", 77, 3, 5, 100, 1, 2, 4)
+    (tmp_path / "all.events").write_bytes(b"header.format = 'x';".ljust(1024) + record * 2 + b"cut")
+    got = [tuple(r)[1:] for r in recordings.read_open_events(spark, str(tmp_path / "*.events")).collect()]
+    assert got == [(77, 3, 5, 100, 1, 2, 4)] * 2
+
+
 def test_load_conditions(spark, tmp_path):
     data = [("s1", "go", "stim/a", "c1", t, k, float(t + k)) for t in range(2) for k in range(2)] + [("s2", "stop", "b", "c1", 0, 0, 9.0)]
     spark.createDataFrame(data, "subject string, condition string, event string, channel string, t int, trial int, v double").write.partitionBy("subject", "condition").parquet(str(tmp_path / "power"))
