@@ -275,6 +275,23 @@ def decode_by_moments(packed: DataFrame, trial: str, label: str, values: str, ki
     return best.groupBy("repeat", "fold", "y_true", "y_pred").agg(F.count("*").alias("n"))
 
 
+def template_decode(long: DataFrame, trial: str, label: str, time: str, value: str) -> DataFrame:
+    """trial, y_true, y_pred by the class mean of greatest cosine (all trials make the means); equal cosines take the least label.
+
+    The means, classes x samples, are joined to the samples; trials are summed before they are shuffled.
+    """
+    means = long.groupBy(F.col(label).alias("y_pred"), time).agg(F.avg(value).alias("_m"))
+    v, m = F.col(value), F.col("_m")
+    scores = long.join(means, time).groupBy(trial, F.col(label).alias("y_true"), "y_pred").agg((F.sum(v * m) / F.sqrt(F.sum(v**2) * F.sum(m**2))).alias("_cosine"))
+    best = scores.groupBy(trial, "y_true").agg(F.max(F.struct(F.round("_cosine", 9).alias("c"), (-F.col("y_pred")).alias("k"))).alias("b"))
+    return best.select(trial, "y_true", (-F.col("b.k")).alias("y_pred"))
+
+
+def best_parameter(losses: DataFrame, keys: list[str], parameter: str, loss: str) -> DataFrame:
+    """Of each key the parameter of least loss (ties: the least parameter): keys, best, loss."""
+    return losses.groupBy(*keys).agg(F.min(F.struct(loss, parameter)).alias("_b")).select(*keys, F.col("_b")[parameter].alias("best"), F.col("_b")[loss].alias("loss"))
+
+
 def generalise_in_time(packed: DataFrame, trial: str, label: str, values: str, model: Callable[[], object], folds: int, seed: int, window: int, step: int) -> DataFrame:
     """train_window, test_window, accuracy, balanced: a model of one window tried on every other."""
     dealt = sampling.kfold(packed, label, [sampling.hash_order(trial, seed=seed), F.col(trial)], folds, "_own")

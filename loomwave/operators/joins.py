@@ -92,3 +92,18 @@ def concatenate_runs(df: DataFrame, keys: list[str], run: str, time: str, length
     w = Window.partitionBy(*keys).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
     offsets = length.withColumn("_off", F.coalesce(F.sum("length").over(w), F.lit(0.0))).drop("length")
     return df.join(offsets, [*keys, run]).withColumn("t_joined", F.col(time) + F.col("_off")).drop("_off")
+
+
+def without(df: DataFrame, bad: DataFrame, on: str) -> DataFrame:
+    """Rows whose `on` is not among the bad ones."""
+    return df.join(bad.select(on), on, "left_anti")
+
+
+def look_up(df: DataFrame, table: DataFrame, key: str, table_key: str, columns: list[str]) -> DataFrame:
+    """df with columns of a lookup table of one row per key; rows without an entry go."""
+    return df.join(table.select(F.col(table_key).alias("_key"), *columns), F.col(key) == F.col("_key")).drop("_key")
+
+
+def each_with_each(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Every row of a short list with every row of another, such as subjects and conditions."""
+    return first.crossJoin(second)

@@ -148,3 +148,31 @@ def outlier_rounds(df: DataFrame, channel: str, value: str, sd: float, rounds: i
         limit = gone.agg((F.avg(left) + sd * F.stddev_pop(left)).alias("_limit"))
         gone = gone.join(F.broadcast(limit)).withColumn("round", F.when(F.col("round").isNull() & (F.col("s") > F.col("_limit")), i).otherwise(F.col("round"))).drop("_limit")
     return gone.where("round is not null").select(channel, F.col("round").cast("long").alias("round"))
+
+
+def sum_squared(value: Column) -> Column:
+    """Sum of squares; exact where the values are whole numbers."""
+    return F.sum(value * value)
+
+
+def minmax_scale(df: DataFrame, value: str, out: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """value brought to 0 .. 1 within each key (or over all rows); null where all values are equal."""
+    ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    joined = df.join(ends, keys) if keys else df.join(F.broadcast(ends))
+    return joined.withColumn(out, (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))).drop("_lo", "_hi")
+
+
+def average_reference(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """value without the mean of its key (the channels of one moment); the means are joined back, one row per key."""
+    mean = df.groupBy(*keys).agg(F.avg(value).alias("_m"))
+    return df.join(mean, keys).withColumn(out, F.col(value) - F.col("_m")).drop("_m")
+
+
+def accuracy(df: DataFrame, true: str, predicted: str) -> DataFrame:
+    """accuracy and n over all rows; null labels count as wrong."""
+    return df.agg(F.avg(F.coalesce(F.col(true) == F.col(predicted), F.lit(False)).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+
+
+def moments_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean of each key: the condition average."""
+    return df.groupBy(*keys).agg(F.avg(value).alias("mean"))

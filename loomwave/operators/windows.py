@@ -111,3 +111,15 @@ def elbow(df: DataFrame, order: str, value: str) -> DataFrame:
     off = F.abs(dy * (F.col(order) - F.col(f"a.{order}")) - dx * (F.col(value) - F.col(f"a.{value}"))) / F.sqrt(dx * dx + dy * dy)
     far = df.join(F.broadcast(ends)).select(order, F.round(off, 9).alias("distance"))
     return far.agg(F.max(F.struct("distance", (-F.col(order)).alias("o"))).alias("m")).select((-F.col("m.o")).alias(order), F.col("m.distance").alias("distance"))
+
+
+def moving_mean(df: DataFrame, keys: list[str], order: str, value: str, before: int, out: str) -> DataFrame:
+    """Mean of each row and up to `before` rows before it within its key."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-before, 0)
+    return df.withColumn(out, F.avg(value).over(w))
+
+
+def first_of_key(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str = "rank") -> DataFrame:
+    """The first n rows of each key with their rank; Spark keeps n rows of a key per task before it shuffles."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(w).cast("long")).where(F.col(out) <= n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwave.functions import labels
@@ -396,15 +396,15 @@ def best_by_key(spark, d):
 
 
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (complete) AS complete FROM (SELECT event_type, user_id, count(*) > 12 AS complete FROM events GROUP BY ALL) GROUP BY event_type")
-def common_trials(spark, d):
+def condition_coverage(spark, d):
     per = table(spark, d, "events").groupBy("event_type", "user_id").agg((F.count("*") > 12).alias("complete"))
     return per.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("complete").cast("long")).alias("complete"))
 
 
 @query(f"WITH {_EL}, w AS (SELECT label, t, avg(v) AS m FROM el GROUP BY ALL) SELECT label, t, round(avg(m) OVER (PARTITION BY label ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) + 0.0 AS smooth FROM w")
 def moving_mean(spark, d):
-    m = long(spark, d).groupBy("label", "t").agg(F.avg("v").alias("m"))
-    return m.select("label", "t", r6(F.avg("m").over(Window.partitionBy("label").orderBy("t").rowsBetween(-3, 0))).alias("smooth"))
+    m = statistics.moments_by(long(spark, d), ["label", "t"], "v")
+    return windows.moving_mean(m, ["label"], "t", "mean", 3, "smooth").select("label", "t", r6("smooth").alias("smooth"))
 
 
 @query("SELECT e.event_id, n_name FROM events e JOIN nation ON n_nationkey = e.user_id % 25 WHERE e.event_type = 'signup'")

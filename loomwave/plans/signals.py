@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwave.operators import frames, joins, permutation, reshape, sampling, statistics, windows
+from loomwave.operators import decoding, frames, joins, permutation, reshape, sampling, statistics, windows
 from loomwave.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,7 +85,7 @@ def brunner_munzel(spark, d):
 
 @query(f"WITH {_EL} SELECT label, t, round(avg(v), 6) + 0.0 AS mean FROM el GROUP BY label, t")
 def condition_average(spark, d):
-    return long(spark, d).groupBy("label", "t").agg(r6(F.avg("v")).alias("mean"))
+    return statistics.moments_by(long(spark, d), ["label", "t"], "v").withColumn("mean", r6("mean"))
 
 
 @query("SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS mean, count(*) AS n, round(sum(l_quantity * l_quantity), 2) AS sumsq FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -103,7 +103,7 @@ def reduce_cube(spark, d):
 @query("SELECT event_type, sum(CAST(round(value * 100) AS BIGINT) * CAST(round(value * 100) AS BIGINT))::BIGINT AS sumsq FROM events GROUP BY event_type")
 def sum_squared(spark, d):
     cents = F.round(F.col("value") * 100).cast("long")
-    return table(spark, d, "events").groupBy("event_type").agg(F.sum(cents * cents).alias("sumsq"))
+    return table(spark, d, "events").groupBy("event_type").agg(statistics.sum_squared(cents).alias("sumsq"))
 
 
 @query("""WITH k AS (SELECT user_id, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY user_id)
@@ -142,7 +142,7 @@ def confusion_by_predicted(spark, d):
 
 @query(f"WITH {_CM} SELECT round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS accuracy, count(*) AS n FROM cm")
 def accuracy_score(spark, d):
-    return _predictions(spark, d).agg(F.round(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")), 6).alias("accuracy"), F.count("*").alias("n"))
+    return statistics.accuracy(_predictions(spark, d), "y_true", "y_pred").withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query("""SELECT l_linenumber, round(1 - sum((l_extendedprice - 1500 * l_quantity) ** 2) / nullif(var_pop(l_extendedprice) * count(*), 0), 6) + 0.0 AS r2, round(corr(l_extendedprice, 1500 * l_quantity), 6) + 0.0 AS rho FROM lineitem GROUP BY l_linenumber""")
@@ -185,9 +185,7 @@ def evoked_zscore(spark, d):
 
 @query("SELECT p_partkey, round((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()), 6) + 0.0 AS scaled FROM part")
 def minmax_scale(spark, d):
-    part = table(spark, d, "part")
-    ends = part.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
-    return part.join(F.broadcast(ends)).select("p_partkey", r6((F.col("p_retailprice") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("scaled"))
+    return statistics.minmax_scale(table(spark, d, "part"), "p_retailprice", "scaled").select("p_partkey", r6("scaled").alias("scaled"))
 
 
 @query("""WITH k AS (SELECT user_id, event_type, max(abs(value)) AS peak FROM events GROUP BY ALL), s AS (SELECT user_id, avg(value) AS c, stddev_pop(value) AS d FROM events GROUP BY user_id)
@@ -219,8 +217,7 @@ def detrend(spark, d):
 @query("SELECT event_id, round(value - avg(value) OVER (PARTITION BY CAST(ts AS DATE)), 6) + 0.0 AS referenced FROM events")
 def average_reference(spark, d):
     ev = table(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
-    mean = ev.groupBy("day").agg(F.avg("value").alias("m"))
-    return ev.join(mean, "day").select("event_id", r6(F.col("value") - F.col("m")).alias("referenced"))
+    return statistics.average_reference(ev, ["day"], "value", "referenced").select("event_id", r6("referenced").alias("referenced"))
 
 
 @query("SELECT event_id, round((row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1)::DOUBLE / nullif(count(*) OVER (PARTITION BY user_id) - 1, 0), 6) AS proportion FROM events")
@@ -318,8 +315,7 @@ def elbow_point(spark, d):
 @query("SELECT * FROM (SELECT label, vec_id AS trial, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings) WHERE rank <= 3")
 def top_trials(spark, d):
     first = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("trial"), F.col("embedding")[0].alias("x"))
-    w = Window.partitionBy("label").orderBy(F.desc("x"), "trial")
-    return first.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("label", "trial", "rank")
+    return windows.first_of_key(first, ["label"], [F.desc("x"), F.col("trial")], 3).select("label", "trial", "rank")
 
 
 # ---- joins -------------------------------------------------------------------------------------------
@@ -382,19 +378,19 @@ def shared_conditions(spark, d):
 
 @query("SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def lookup_labels(spark, d):
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "r_name")
+    n = joins.look_up(table(spark, d, "nation"), table(spark, d, "region"), "n_regionkey", "r_regionkey", ["r_name"])
+    return joins.look_up(table(spark, d, "supplier"), n, "s_nationkey", "n_nationkey", ["n_name", "r_name"]).select("s_suppkey", "n_name", "r_name")
 
 
 @query("SELECT r_name, s.o_orderstatus, (SELECT count(*) FROM orders o WHERE o.o_orderstatus = s.o_orderstatus) AS n FROM region, (SELECT DISTINCT o_orderstatus FROM orders) s")
 def condition_product(spark, d):
     status = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-    return table(spark, d, "region").select("r_name").crossJoin(status)
+    return joins.each_with_each(table(spark, d, "region").select("r_name"), status)
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
 def drop_bad_channels(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_totalprice > 150000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return joins.without(table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 150000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
 
 
 @query("""WITH c AS (SELECT s_suppkey AS name, 'good' AS status FROM supplier), x AS (SELECT DISTINCT l_suppkey AS name, 'bad' AS status FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1)
@@ -646,8 +642,4 @@ def cluster_structure(spark, d):
 @query(f"""WITH {_EL}, c AS (SELECT label, t, avg(v) AS m FROM el GROUP BY ALL), s AS (SELECT trial, el.label AS y_true, c.label AS y_pred, sum(el.v * c.m) / sqrt(sum(el.v * el.v) * sum(c.m * c.m)) AS cosine FROM el JOIN c USING (t) GROUP BY ALL),
 b AS (SELECT trial, y_true, y_pred, row_number() OVER (PARTITION BY trial ORDER BY round(cosine, 9) DESC, y_pred) AS r FROM s) SELECT y_true, y_pred, count(*) AS n FROM b WHERE r = 1 GROUP BY ALL""")
 def template_decode(spark, d):
-    el = long(spark, d)
-    means = el.groupBy(F.col("label").alias("y_pred"), "t").agg(F.avg("v").alias("m"))
-    s = el.join(means, "t").groupBy("trial", F.col("label").alias("y_true"), "y_pred").agg((F.sum(F.col("v") * F.col("m")) / F.sqrt(F.sum(F.col("v") ** 2) * F.sum(F.col("m") ** 2))).alias("cosine"))
-    best = s.groupBy("trial", "y_true").agg(F.max(F.struct(F.round("cosine", 9).alias("c"), (-F.col("y_pred")).alias("k"))).alias("b"))
-    return statistics.confusion(best.select("y_true", (-F.col("b.k")).alias("y_pred")), "y_true", "y_pred")
+    return statistics.confusion(decoding.template_decode(long(spark, d), "trial", "label", "t", "v"), "y_true", "y_pred")

@@ -130,7 +130,7 @@ def clip_weights(spark, d):
 @query("SELECT l_returnflag, min(l_linenumber) FILTER (rnk = 1)::BIGINT AS best, round(min(m), 4) AS loss FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY m, l_linenumber) AS rnk FROM (SELECT l_returnflag, l_linenumber, round(avg(l_extendedprice), 4) AS m FROM lineitem GROUP BY ALL)) GROUP BY l_returnflag")
 def best_parameter(spark, d):
     losses = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.round(F.avg("l_extendedprice"), 4).alias("m"))
-    return losses.groupBy("l_returnflag").agg(F.min(F.struct("m", "l_linenumber")).alias("b")).select("l_returnflag", F.col("b.l_linenumber").cast("long").alias("best"), F.col("b.m").alias("loss"))
+    return decoding.best_parameter(losses, ["l_returnflag"], "l_linenumber", "m").withColumn("best", F.col("best").cast("long"))
 
 
 @query(f"WITH {_EL} SELECT trial, label, t, round(v, 6) + 0.0 AS v FROM el")
