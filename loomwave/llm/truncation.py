@@ -459,8 +459,8 @@ def near_links(documents: DataFrame, pages: DataFrame, settings: Settings) -> tu
     texts = materialised(pages.groupBy("copy_key", "n_words").agg(F.min(F.struct("doc_id", "signature")).alias("t")).select("t.*", "n_words"))
     groups = near_groups(texts, settings)
     sized = groups.join(groups.groupBy("leader").agg(F.count("*").alias("size")), "leader")
-    drawn = F.pmod(F.xxhash64("doc_id", "leader"), F.lit(1 << 40)) * F.col("size")  # below 2^40: one of the group on average
-    members = materialised(sized.select("leader", "doc_id", "n_words", F.when(F.col("doc_id") == F.col("leader"), 0).otherwise(F.ceil(F.log2(F.greatest(drawn / (1 << 40), F.lit(1.0)))) + 1).cast("int").alias("round")))
+    drawn = F.pmod(F.xxhash64("doc_id", "leader"), F.lit(1 << 40)).cast("double") / (1 << 40) * F.col("size")  # a random place in the group
+    members = materialised(sized.select("leader", "doc_id", "n_words", F.when(F.col("doc_id") == F.col("leader"), 0).otherwise(F.ceil(F.log2(F.greatest(drawn, F.lit(1.0)))) + 1).cast("int").alias("round")))
     rounds = members.agg(F.max("round")).first()[0]
     grouped = members.select("doc_id").distinct()
     sides = materialised(texts.join(grouped, "doc_id", "left_semi"))
