@@ -467,16 +467,20 @@ def near_links(documents: DataFrame, pages: DataFrame, settings: Settings) -> tu
     read = materialised(documents.select("doc_id", "text").join(grouped, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     side = lambda c: sides.select(F.col("doc_id").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n_words").alias(f"n_{c}"))
     place = F.struct("n_words", F.negative("doc_id"))
-    links, settled = [], []
+    links, settled = [], None
     for n in range(-1 if rounds is None else rounds + 1):
         shorter = members.where("doc_id <> leader").select("leader", F.col("doc_id").alias("a"), place.alias("place_a"))
-        shorter = reduce(lambda df, done: df.join(done, "a", "left_anti"), settled, shorter)
+        shorter = shorter if settled is None else shorter.join(settled, "a", "left_anti")
         met = shorter.join(members.where(F.col("round") == n).select("leader", F.col("doc_id").alias("b"), place.alias("place_b")), "leader").where("place_a < place_b")
         likely = materialised(met.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_pair_estimate(settings), "a long, b long"))
         if likely.isEmpty():
             continue
-        links.append(materialised(verified_ends(read, likely, settings)))
-        settled.append(links[-1].where(F.col("ends").isin("early", "inside", "same")).select("a").distinct())
+        found = materialised(verified_ends(read, likely, settings))
+        if found.isEmpty():
+            continue
+        links.append(found)
+        done = found.where(F.col("ends").isin("early", "inside", "same")).select("a")
+        settled = materialised((done if settled is None else done.unionByName(settled)).distinct())
     none = documents.sparkSession.createDataFrame([], "a long, b long, ends string")
     return members.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct(), reduce(DataFrame.unionByName, links, none)
 
