@@ -6,10 +6,13 @@ conditions x time by channels per source, whose size does not grow with the tria
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -150,27 +153,124 @@ def factor_analysis(x: np.ndarray, factors: int, rounds: int = 200) -> tuple[np.
     return load @ rotation, psi
 
 
-def outlier_factor(x: np.ndarray, k: int) -> np.ndarray:
-    """Local outlier factor of each row by its k nearest rows."""
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, axis=1)[:, :k]
-    kth = np.take_along_axis(d, near[:, -1:], 1)[:, 0]
-    reach = np.maximum(np.take_along_axis(d, near, 1), kth[near])
-    density = 1 / np.maximum(reach.mean(1), 1e-10)
-    return density[near].mean(1) / density
+def _distances(x: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces of rows and their distances to all: infinite where a feature is missing, -1 from a row to itself.
+
+    The distances of a piece stay in a processor's cache and are overwritten by the next.
+    """
+    step = max(1, 2**16 // len(x))
+    room = np.empty((2, step, len(x)))
+    for i in range(0, len(rows), step):
+        at = rows[i : i + step]
+        d, e = room[:, : len(at)]
+        d[:] = 0
+        for c in x.T:
+            np.subtract(c[at, None], c, out=e)
+            e *= e
+            d += e
+        np.fmin(np.sqrt(d, out=d), np.inf, out=d)
+        d[np.arange(len(at)), at] = -1
+        yield at, d
+
+
+def _kth_distance(x: np.ndarray, k: int, rows: np.ndarray) -> np.ndarray:
+    out = []
+    for _, d in _distances(x, rows):
+        d.partition(k, axis=1)
+        out.append(d[:, k].copy())
+    return np.concatenate(out)
+
+
+def _farthest_known(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The largest distance that is known, -1 where none is."""
+    return np.concatenate([np.where(np.isinf(d), -1, d).max(1) for _, d in _distances(x, rows)])
+
+
+def _near_mean(x: np.ndarray, k: int, kth: np.ndarray, within: np.ndarray | None, value: np.ndarray | None, rows: np.ndarray) -> np.ndarray:
+    """Mean over the k nearest others (of equally distant ones the first) of `value`; without one, of the distance, at least the other's `within`."""
+    out = []
+    for at, d in _distances(x, rows):
+        near = d <= kth[at, None]
+        near[np.arange(len(at)), at] = False
+        number = near.sum(1)
+        for i in np.flatnonzero(number > k):
+            last = np.flatnonzero(d[i] == kth[at[i]])
+            near[i, last[k - number[i] + len(last) :]] = False
+        if value is not None:
+            out.append(np.multiply(near, value, out=d).sum(1) / k)
+            continue
+        if np.isinf(kth[at]).any():
+            d[np.isinf(d)] = -1
+            near &= np.maximum(d, within, out=d) >= 0
+            number = np.maximum(near.sum(1), 1)
+        else:
+            np.maximum(d, within, out=d)
+            number = k
+        np.copyto(d, 0, where=~near)  # may be infinite
+        out.append(d.sum(1) / number)
+    return np.concatenate(out)
+
+
+def outlier_factor(x: np.ndarray, k: int, run: Callable | None = None) -> np.ndarray:
+    """Local outlier factor of each row by its k nearest rows; of equally distant rows the first are the nearer.
+
+    A row with a missing feature (NaN) is farther from all than any other; distances that are not known are left out of means.
+    Distances are taken anew in each of three passes, a few rows at a time, so memory grows with the rows and not with
+    their square. run(f, *shared) gives f(*shared, rows) for all rows in order (here by default; in tasks: `in_tasks`).
+    """
+    x = np.asfortranarray(x, float)
+    if len(x) < 2:
+        return np.full(len(x), np.nan)
+    k, run = min(k, len(x) - 1), run or (lambda f, *shared: f(*shared, np.arange(len(x))))
+    kth = run(_kth_distance, x, k)
+    within = np.where(np.isinf(kth), run(_farthest_known, x), kth) if np.isinf(kth).any() else kth
+    density = 1 / np.maximum(run(_near_mean, x, k, kth, within, None), 1e-10)
+    return run(_near_mean, x, k, kth, None, density) / density
+
+
+def in_tasks(spark: SparkSession, n: int) -> Callable:
+    """run(f, *shared): f(*shared, rows) of n rows, one number a row, in tasks that share the arrays as a broadcast."""
+
+    def run(f: Callable, *shared) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(shared)
+
+        def part(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f(*sent.value, b.column(0).to_numpy()), pa.float64())], ["id", "y"])
+
+        tasks = spark.range(0, n, 1, min(n, 4 * spark.sparkContext.defaultParallelism))
+        got = tasks.mapInArrow(part, "id long, y double").toArrow()
+        sent.unpersist()
+        out = np.empty(n)
+        out[got["id"].to_numpy()] = got["y"].to_numpy()
+        return out
+
+    return run
+
+
+#: Channels up to which distances of all pairs take less time than starting tasks.
+_FEW = 4000
 
 
 def bad_channels(packed: DataFrame, channel: str, features: list[str], threshold: float = 1.5) -> DataFrame:
     """channel, factor of channels that stand out among the others; the threshold rises by one while over a fifth do.
 
-    One row of features per channel; channels of one recording are few.
+    One row of features per channel. The driver holds these rows and two numbers a channel; of more than a few thousand channels
+    the distances are taken in tasks. Neighbours are a fifth of the channels, so the time grows with the square of their number.
+    A null channel counts among the channels but is never a neighbour or a result; a channel without features is far from all.
     """
+    spark = packed.sparkSession
     rows = packed.select(channel, *features).orderBy(channel).collect()
-    x = np.array([[r[f] for f in features] for r in rows], float)
-    x = (x - x.mean(0)) / np.where(x.std(0) == 0, 1, x.std(0))
-    factor = outlier_factor(x, max(1, len(x) // 5))
-    while (factor > threshold).mean() > 0.2:
-        threshold += 1
-    out = [(r[channel], float(f)) for r, f in zip(rows, factor) if f > threshold]
-    return packed.sparkSession.createDataFrame(out, f"{channel} {dict(packed.dtypes)[channel]}, factor double")
+    x = np.array([[r[f] for f in features] for r in rows], float).reshape(len(rows), len(features))
+    names = [r[channel] for r in rows if r[channel] is not None]
+    out = []
+    if len(names) > 1:
+        known = ~np.isnan(x)
+        mean = np.where(known, x, 0).sum(0) / np.maximum(known.sum(0), 1)
+        std = np.sqrt(np.where(known, (x - mean) ** 2, 0).sum(0) / np.maximum(known.sum(0), 1))
+        x = ((x - mean) / np.where(std == 0, 1, std))[len(rows) - len(names) :]  # a null channel is the first
+        factor = outlier_factor(x, max(1, len(rows) // 5), in_tasks(spark, len(names)) if len(names) > _FEW else None)
+        allowed = np.sort(factor)[::-1][int(0.2 * len(factor))]  # the largest factor that a threshold may leave out
+        threshold += max(0, math.ceil(allowed - threshold))
+        out = [(c, float(f)) for c, f in zip(names, factor) if f > threshold]
+    return spark.createDataFrame(out, f"{channel} {dict(packed.dtypes)[channel]}, factor double")
