@@ -7,10 +7,11 @@ task, `spark_classifier` and `spark_regressor` give the distributed estimators o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,40 +176,64 @@ class Kalman:
 
 
 class GridBayes:
-    """Poisson tuning curves over a grid of states, and a normal step from one state to the next."""
+    """Poisson tuning curves over a grid of states, and a normal step from one state to the next.
+
+    Arrays may have further axes in front: so many recordings of one length, each with its own model.
+    """
 
     def __init__(self, cells: int = 20):
         self.cells = cells
 
+    def together(self, states: int) -> int:
+        """Recordings whose steps between cells are few enough to be held at once."""
+        return max(1, 2**20 // self.cells ** (2 * states))
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> GridBayes:
-        low, high = y.min(0), y.max(0)
-        self.grid = np.array([g.ravel() for g in np.meshgrid(*(np.linspace(a, b, self.cells) for a, b in zip(low, high)))]).T
-        features = lambda s: np.c_[np.ones(len(s)), s, s**2]
-        d = features(y)
-        rates = []
-        for spikes in x.T:
-            w = np.zeros(d.shape[1])
-            w[0] = np.log(max(spikes.mean(), 1e-6))
-            for _ in range(25):
-                mu = np.exp(np.clip(d @ w, -20, 20))
-                step = np.linalg.solve(d.T @ (d * mu[:, None]) + 1e-6 * np.eye(len(w)), d.T @ (spikes - mu))
-                w = w + np.clip(step, -5, 5)
-            rates.append(np.exp(np.clip(features(self.grid) @ w, -20, 20)))
-        self.rates = np.array(rates).T
-        self.step = max(np.sqrt((np.diff(y, axis=0) ** 2).sum(1).mean()), 1e-9)
+        lines = np.linspace(y.min(-2), y.max(-2), self.cells, axis=-1)
+        places = np.meshgrid(*[np.arange(self.cells)] * y.shape[-1])
+        self.grid = np.stack([lines[..., i, g.ravel()] for i, g in enumerate(places)], -1)
+        middle, sd = y.mean(-2, keepdims=True), y.std(-2, keepdims=True)
+        sd = np.where(sd == 0, 1, sd)  # states in units of their spread: raw squares next to ones may be a singular system
+
+        def features(s: np.ndarray) -> np.ndarray:
+            z = (s - middle) / sd
+            return np.concatenate([np.ones_like(z[..., :1]), z, z**2], -1)[..., None, :, :]
+
+        d, spikes = features(y), x.swapaxes(-1, -2)
+        t = d.swapaxes(-1, -2)
+        w = np.zeros((*spikes.shape[:-1], d.shape[-1]))
+        w[..., 0] = np.log(np.maximum(spikes.mean(-1), 1e-6))
+        for _ in range(25):
+            line = np.clip((d @ w[..., None])[..., 0], -20, 20)
+            mu = np.exp(line)
+            gram = t @ (d * mu[..., None])
+            ridge = 1e-6 + 1e-12 * np.trace(gram, axis1=-2, axis2=-1)
+            step = np.linalg.solve(gram + ridge[..., None, None] * np.eye(w.shape[-1]), t @ (spikes - mu)[..., None])[..., 0]
+            step *= 5 / np.maximum(np.abs(step).max(-1, keepdims=True), 5)
+            likelihood = (spikes * line - mu).sum(-1)
+            for _ in range(10):  # steps that would lower the likelihood are halved
+                line = np.clip((d @ (w + step)[..., None])[..., 0], -20, 20)
+                low = (spikes * line - np.exp(line)).sum(-1) < likelihood - 1e-9 * np.abs(likelihood)
+                if not low.any():
+                    break
+                step[low] /= 2
+            w = w + step
+        self.rates = np.exp(np.clip((features(self.grid) @ w[..., None])[..., 0], -20, 20)).swapaxes(-1, -2)
+        self.step = np.maximum(np.sqrt((np.diff(y, axis=-2) ** 2).sum(-1).mean(-1)), 1e-9)
         return self
 
     def predict(self, x: np.ndarray, start: np.ndarray) -> np.ndarray:
-        d = ((self.grid[:, None] - self.grid[None]) ** 2).sum(2)
-        move = np.exp(-d / (2 * self.step**2))
+        d = ((self.grid[..., :, None, :] - self.grid[..., None, :, :]) ** 2).sum(-1)
+        wide = 2 * np.asarray(self.step)[..., None] ** 2
+        move, log_rates, total = np.exp(-d / wide[..., None]), np.log(self.rates), self.rates.sum(-1)
         belief, out = None, [start]
-        for z in x[1:]:
-            here = np.exp(-((self.grid - out[-1]) ** 2).sum(1) / (2 * self.step**2)) if belief is None else move @ belief
-            log = np.log(here + 1e-300) + (z * np.log(self.rates) - self.rates).sum(1)
-            belief = np.exp(log - log.max())
-            belief /= belief.sum()
-            out.append(self.grid[np.argmax(belief)])
-        return np.array(out)
+        for i in range(1, x.shape[-2]):
+            here = np.exp(-((self.grid - start[..., None, :]) ** 2).sum(-1) / wide) if belief is None else (move @ belief[..., None])[..., 0]
+            log = np.log(here + 1e-300) + (log_rates @ x[..., i, :, None])[..., 0] - total
+            belief = np.exp(log - log.max(-1, keepdims=True))
+            belief /= belief.sum(-1, keepdims=True)
+            out.append(np.take_along_axis(self.grid, np.argmax(belief, -1)[..., None, None], -2)[..., 0, :])
+        return np.stack(out, -2)
 
 
 def cross_validate(packed: DataFrame, trial: str, label: str, values: str, model: Callable[[], object], folds: int, repeats: int, seed: int, window: int | None = None, step: int = 1) -> DataFrame:
@@ -324,28 +349,69 @@ def leave_one_channel_out(packed: DataFrame, trial: str, label: str, values: str
     return spread.groupBy("channel").applyInPandas(run, "channel int, accuracy double")
 
 
-def sequence_decode(df: DataFrame, keys: list[str], order: str, features: list[str], targets: list[str], model: Callable[[], object], train: float) -> DataFrame:
+def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Places of rows at which a key differs from the row before."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        codes = pa.chunked_array([rows[k].combine_chunks()]).dictionary_encode("encode").chunk(0).indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_recordings(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[pa.Table]:
+    """Tables of whole recordings, of `least` rows or more where there are so many, from batches in order of their keys."""
+    held, n, enough = [], 0, least
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= enough:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            last = int(_starts(rows, keys)[-1])
+            if last:
+                yield rows.slice(0, last)
+            held, n = rows.slice(last).to_batches(), n - last
+            enough = max(least, 2 * n)  # a recording longer than that is joined a few times only
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def sequence_decode(df: DataFrame, keys: list[str], order: str, features: list[str], targets: list[str], model: Callable[[], object], train: float, least: int = 1 << 16) -> DataFrame:
     """Kalman or grid decoding per recording: fitted on the first share `train` of its rows, predicted for the others, in order.
 
     The first of the others is where the decoder starts. A recording of fewer than four rows, or of constant states, has too
-    little to fit and gives no row.
+    little to fit and gives no row. Recordings pass sorted, `least` rows or more at once; a model with `together` takes those of
+    one length in one call.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x, y = pdf[features].to_numpy(float), pdf[targets].to_numpy(float)
-        n = max(2, int(len(pdf) * train))
-        if len(pdf) < 4 or np.ptp(y[:n], axis=0).max() == 0:
-            return pd.DataFrame(columns=[*keys, order, *(f"{t}_hat" for t in targets)])
-        hat = model().fit(x[:n], y[:n]).predict(x[n:], y[n])
-        out = pdf.iloc[n:][[*keys, order]].copy()
-        for i, t in enumerate(targets):
-            out[f"{t}_hat"] = hat[:, i]
-        return out
+    def decoded(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+        """x and y: recordings x rows x columns."""
+        if not hasattr(model(), "together"):
+            return np.array([model().fit(a[:n], b[:n]).predict(a[n:], b[n]) for a, b in zip(x, y)])
+        step = model().together(len(targets))
+        cut = [slice(i, i + step) for i in range(0, len(x), step)]
+        return np.concatenate([model().fit(x[c, :n], y[c, :n]).predict(x[c, n:], y[c, n]) for c in cut])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_recordings(batches, keys, least):
+            x, y = (np.stack([rows[c].cast(pa.float64()).to_numpy() for c in cs], -1) for cs in (features, targets))
+            starts = _starts(rows, keys)
+            lengths = np.diff(np.r_[starts, rows.num_rows])
+            for length in np.unique(lengths[lengths >= 4]):
+                at, n = starts[lengths == length, None] + np.arange(length), max(2, int(length * train))
+                at = at[np.ptp(y[at[:, :n]], axis=1).max(-1) != 0]
+                if not len(at):
+                    continue
+                hat = decoded(x[at], y[at], n).reshape(-1, len(targets))
+                out = rows.select([*keys, order]).take(pa.array(at[:, n:].ravel()))
+                for i, t in enumerate(targets):
+                    out = out.append_column(f"{t}_hat", pa.array(hat[:, i], pa.float64(), from_pandas=True))
+                yield from out.to_batches()
 
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{order} {kinds[order]}", *(f"{t}_hat double" for t in targets)])
-    return df.select(*keys, order, *features, *targets).groupBy(*keys).applyInPandas(run, schema)
+    placed = df.select(*keys, order, *features, *targets).repartition(*keys).sortWithinPartitions(*keys, F.col(order).asc_nulls_last())
+    return placed.mapInArrow(run, schema)
 
 
 def spark_classifier(kind: str, **parameters):
